@@ -67,7 +67,8 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 class Words:
     """Words of a chunk: start and end in the buffer, row of each, and hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, longest: int | None = None) -> None:
+        """longest: words of more bytes are cut into pieces of so many."""
         inside = ~separator[data]
         n = len(data)
         edge = np.zeros(n + 1, bool)
@@ -76,13 +77,18 @@ class Words:
         after = np.concatenate([~inside[1:], [True]]) if n else np.zeros(0, bool)
         self.start = np.flatnonzero(inside & (before | edge[:n]))
         self.end = np.flatnonzero(inside & (after | edge[1:])) + 1
+        if longest and int((self.end - self.start).max(initial=0)) > longest:
+            parts = -(-(self.end - self.start) // longest)
+            nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            stop = np.repeat(self.end, parts)
+            self.start = np.repeat(self.start, parts) + nth * longest
+            self.end = np.minimum(self.start + longest, stop)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.size = self.end - self.start
         self.first = np.cumsum(self.size) - self.size
         self.letters = LOWER[data[inside]]
         self.place = np.arange(len(self.letters)) - np.repeat(self.first, self.size)
-        longest = int(self.size.max(initial=1))
-        self.values = LETTER[self.letters] * powers(longest)[self.place]
+        self.values = LETTER[self.letters] * powers(int(self.size.max(initial=1)))[self.place]
 
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """Hash of each word, or of its first ``prefix`` bytes."""
