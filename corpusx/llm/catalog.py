@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from corpusx.llm import bpe, mixing, pii, secrets, tokens
+from corpusx.llm import bpe, dedup, langid, mixing, pii, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_topk": topk.op1_topk,
         "op2_mixing": mixing.op2_mixing,
         "op3_bpe": bpe.op3_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_pii": pii.op5_pii,
+        "op6_langid": langid.op6_langid,
         "op7_token_counts": tokens.op7_token_counts,
+        "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_secrets": secrets.op9_secrets,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op2_mixing": mixing.ORACLE, "op8_exact_dedup": dedup.ORACLE}
