@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusx.llm import bpe, dedup, langid, mixing, pii, secrets, tokens, topk, toxicity
+from corpusx.llm import bpe, dedup, jaccard, langid, mixing, pii, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_token_counts": tokens.op7_token_counts,
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_secrets": secrets.op9_secrets,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
