@@ -303,13 +303,17 @@ def bucket_pairs(buckets: DataFrame, percent: int, spanning: bool, count: int) -
             if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
                 continue
             raw = sketches.slice(lo, hi - lo).to_pylist()
-            sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(hi - lo, -1)
-            i, j, bound = open_pairs(sketch, size[lo:hi].astype(np.int64), role[lo:hi], group[lo:hi], percent)
-            if spanning and len(i):
-                e = forest(i, j, bound, hi - lo)
-                i, j = i[e], j[e]
-            a, b = ident[lo:hi][i], ident[lo:hi][j]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+            length = np.fromiter(map(len, raw), np.int64, hi - lo)
+            for m in np.unique(length).tolist():  # sketches of another length are of another band: a chance meeting
+                at = np.flatnonzero(length == m)
+                own = lo + at
+                sketch = np.frombuffer(b"".join(raw[x] for x in at.tolist()), np.uint8).reshape(len(at), m)
+                i, j, bound = open_pairs(sketch, size[own].astype(np.int64), role[own], group[own], percent)
+                if spanning and len(i):
+                    e = forest(i, j, bound, len(at))
+                    i, j = i[e], j[e]
+                x, y = ident[own][i], ident[own][j]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
         if not found:
             return None
         both = np.unique(np.concatenate(found), axis=0)
