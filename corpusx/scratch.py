@@ -29,6 +29,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/corpusx-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back with the same schema."""
@@ -37,6 +38,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._kept.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -46,6 +48,11 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+            self._kept = [k for k in self._kept if k is not df]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete every table of this run except those given."""
+        self.drop(*[k for k in self._kept if not any(k is t for t in tables)])
 
 
 def partitions(spark: SparkSession) -> int:
