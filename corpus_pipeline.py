@@ -37,13 +37,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "copies")
-    rows = scratch.keep(dedup.exact_dedup(docs), "groups")
+    rows = scratch.keep(dedup.exact_dedup(docs, scratch=scratch), "groups")
+    scratch.drop_all_but(rows)
     gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     gone = scratch.keep(gone, "gone")
     sha = F.sha2(dedup.normalised(F.col("text")).cast("binary"), 256)
     twice = scratch.keep(rows.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("__id")).distinct(), "twice")
     # rows whose id is listed with another text too must be told apart by their text; a row that
     # repeats the one that stays in id and text is kept by its first copy
+    scratch.drop(rows)
     kept = without(docs, gone, {"__id": docs["doc_id"], "__sha": sha})
     if twice.isEmpty():
         return kept
@@ -55,8 +57,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near")
-    found = jaccard.similar_documents(docs, words=5, percent=80)
+    found = jaccard.similar_documents(docs, words=5, percent=80, scratch=scratch)
     gone = scratch.keep(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    scratch.drop_all_but(gone)
     return without(docs, gone, {"__id": docs["doc_id"]})
 
 

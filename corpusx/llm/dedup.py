@@ -77,9 +77,9 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    scratch = Scratch(docs.sparkSession, "dedup")
+    scratch = scratch or Scratch(docs.sparkSession, "dedup")
     rows = equal_text_groups(docs, id_col, text_col, scratch)
     order = F.struct((-F.col("code_points")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     sha = F.lower(F.hex("sha")).alias("text_sha256")

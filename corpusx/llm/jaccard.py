@@ -92,18 +92,20 @@ def per_set(h: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
 
 
 def index_keys(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, bytes]:
-    """Keys of one set in a band, and its parity sketch there (a byte per segment)."""
+    """Keys of one set in a band, and its parity sketch there (half a byte per segment)."""
     m = bands.segments(band)
     seg = ((h >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
-    bit = np.left_shift(1, (h >> np.uint64(8)) & np.uint64(7)).astype(np.uint8)
+    bit = np.left_shift(1, ((h >> np.uint64(8)) & np.uint64(3)).astype(np.int64) + 4 * (seg & 1)).astype(np.uint8)
     worth = mix(h ^ np.uint64(band))
     order = np.argsort(seg, kind="stable")
     s = seg[order]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     content = np.zeros(m, np.uint64)
     content[s[at]] = np.add.reduceat(worth[order], at)
-    sketch = np.zeros(m, np.uint8)
-    sketch[s[at]] = np.bitwise_xor.reduceat(bit[order], at)
+    sketch = np.zeros((m + 1) // 2, np.uint8)  # four parities a segment
+    pair = s >> 1
+    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    sketch[pair[cut]] = np.bitwise_xor.reduceat(bit[order], cut)
     held = np.bincount(seg, minlength=m)
     place = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
     spare = bands.spare.get(band, 0)
@@ -289,16 +291,24 @@ def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, n: int) -> np.ndarra
     return np.array(kept, np.int64)
 
 
-def bucket_pairs(buckets: DataFrame, percent: int, spanning: bool, count: int) -> DataFrame:
-    """Distinct (a, b) to verify from members (bucket, sub, role, set, size, sketch, group)."""
-    dealt = buckets.repartition(count, "bucket", "sub").sortWithinPartitions("bucket", "sub", "set", "role")
+def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, spanning: bool, count: int) -> DataFrame:
+    """Pairs (a, b) to verify from members (bucket, sub, role, set, group) and the sets' sketches.
 
-    def pairs(t: pa.Table) -> pa.Table | None:
+    spanning: only a forest of each bucket, and a row with ``bucket`` and ``sub`` for each bucket
+    that has more pairs than its forest.
+    """
+    s = sets.select(F.col("set").alias("s"), "size", "own", "next")
+    sketch = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("next"))
+    sketched = members.join(s, F.col("set") == F.col("s")).select("bucket", "sub", "role", "set", "group", "size", sketch.alias("sketch"))
+    dealt = sketched.repartition(count, "bucket", "sub").sortWithinPartitions("bucket", "sub", "set", "role")
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "bucket", "sub")])
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, sub = (t.column(c).to_numpy() for c in ("bucket", "sub"))
         cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1]), [True]]))
         ident, size, role, group = (t.column(c).to_numpy() for c in ("set", "size", "role", "group"))
         sketches = t.column("sketch").combine_chunks()
-        found = []
+        found, more = [np.zeros((0, 2), np.int64)], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
                 continue
@@ -311,27 +321,33 @@ def bucket_pairs(buckets: DataFrame, percent: int, spanning: bool, count: int) -
                 i, j, bound = open_pairs(sketch, size[own].astype(np.int64), role[own], group[own], percent)
                 if spanning and len(i):
                     e = forest(i, j, bound, len(at))
+                    if len(e) < len(i):
+                        more.append((int(bucket[lo]), int(sub[lo])))
                     i, j = i[e], j[e]
                 x, y = ident[own][i], ident[own][j]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
-        if not found:
-            return None
         both = np.unique(np.concatenate(found), axis=0)
-        return pa.table([both[:, 0], both[:, 1]], names=["a", "b"]) if len(both) else None
+        extra = np.array(sorted(set(more)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([both[:, k], np.zeros(len(extra), np.int64)]), mask=np.arange(len(both) + len(extra)) >= len(both)) for k in (0, 1)
+        ] + [
+            pa.array(np.concatenate([np.zeros(len(both), np.int64), extra[:, k]]), mask=np.arange(len(both) + len(extra)) < len(both)) for k in (0, 1)
+        ], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:  # whole buckets at a time: the last one may go on in the next batch
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if not t.num_rows:
+                continue
             bucket, sub = t.column("bucket").to_numpy(), t.column("sub").to_numpy()
-            last = int(np.flatnonzero((bucket == bucket[-1]) & (sub == sub[-1]))[0]) if t.num_rows else 0
+            last = int(np.flatnonzero((bucket == bucket[-1]) & (sub == sub[-1]))[0])
             rest = t.slice(last)
-            if (out := pairs(t.slice(0, last))) is not None:
-                yield from out.to_batches()
-        if rest is not None and (out := pairs(rest)) is not None:
-            yield from out.to_batches()
+            yield from pairs(t.slice(0, last))
+        if rest is not None:
+            yield from pairs(rest)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bucket long, sub long").distinct()
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -370,10 +386,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 MOST_BROADCAST = 1_000_000
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bands = Bands(percent)
     # about how many sets each band has, for the choice of neighbourhoods alone: words are taken as 6 bytes
@@ -383,29 +399,30 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         inside = [k for k, e in enumerate(bands.edge[:-1]) if 2 ** r["g"] <= e < 2 ** (r["g"] + 1)] or [int(bands.of(np.array([2 ** r["g"]]))[0])]
         bands.allot({k: r["count"] // len(inside) + 1 for k in inside})
     count = partitions(spark)
-    parts = 3 * count
-    stage = scratch.keep(shared_keys(index_rows(docs, bands, words, parts).repartition(count, "part")), "index")
+    stage = scratch.keep(shared_keys(index_rows(docs, bands, words, count).repartitionById(count, F.col("part"))), "index")
     members = stage.where("bucket is not null").select("bucket", "sub", "role", "set")
     info = stage.where("bucket is null").select("doc_id", "size", "set", "own", "next")
     sets = info.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.max("own").alias("own"), F.max("next").alias("next"))
-    sets = sets.withColumnRenamed("set", "s")
-    sketch = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("next"))
-    buckets = scratch.keep(members.join(sets, F.col("set") == F.col("s")).select("bucket", "sub", "role", "set", "rep", "size", sketch.alias("sketch")), "buckets")
-    needed = buckets.select(F.col("set").alias("s"), "rep").distinct()
-    needed = scratch.keep(needed, "needed")
+    first = scratch.keep(bucket_pairs(members.withColumn("group", F.col("set")), sets, percent, True, count), "pairs")
+    pairs, active = first.where("a is not null").select("a", "b"), first.where("a is null").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
+    # every set with a pair stands in a forest, so these sets are all that is ever verified
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    needed = scratch.keep(sets.join(needed, F.col("set") == F.col("n"), "left_semi").select("rep"), "needed")
     asked = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
-    texts = docs.join(asked, F.col("doc_id") == F.col("rep")).select("text")
-    tokens = scratch.keep(token_sets(texts, words).dropDuplicates(["set"]), "tokens")
-    alone = buckets.withColumn("group", F.col("set")).drop("rep")
-    links = scratch.keep(verified(bucket_pairs(alone, percent, True, count), tokens, percent), "links")
-    roots = components(links, scratch)
-    roots = scratch.keep(roots, "roots")
+    tokens = token_sets(docs.join(asked, F.col("doc_id") == F.col("rep")).select("text"), words)
+    tokens = scratch.keep(tokens.dropDuplicates(["set"]), "tokens")
+    links = scratch.keep(verified(pairs, tokens, percent), "links")
+    roots = scratch.keep(components(links, scratch), "roots")
     r = roots.withColumnRenamed("node", "n")
-    grouped = buckets.join(r, F.col("set") == F.col("n"), "left").withColumn("group", F.coalesce("root", "set")).drop("rep", "n", "root")
-    more = scratch.keep(verified(bucket_pairs(grouped, percent, False, count), tokens, percent), "more")
+    again = members.join(active, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l"))).join(r, F.col("set") == F.col("n"), "left")
+    again = scratch.keep(again.select("bucket", "sub", "role", "set", F.coalesce("root", "set").alias("group")), "again")
+    apart = again.groupBy("bucket", "sub").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
+    again = again.join(apart, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l")), "left_semi")
+    more = bucket_pairs(again, sets, percent, False, count).select("a", "b")
+    more = scratch.keep(verified(more, tokens, percent), "more")
     if not more.isEmpty():
         roots = scratch.keep(components(links.unionByName(more), scratch), "roots")
-    scratch.drop(buckets, tokens)
+    scratch.drop_all_but(stage, roots)
     by_set = info.join(roots.withColumnRenamed("node", "n"), F.col("set") == F.col("n"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
     least = by_set.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "q")
     joined = by_set.join(least, F.col("root") == F.col("q"), "left")
