@@ -31,11 +31,21 @@ class Scratch:
         self._n = 0
         self._kept: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return the table read back with the same schema."""
+    def keep(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return the table read back with the same schema.
+
+        batch: rows of an Arrow batch while it is written, for tables of wide rows.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            if batch:
+                self.spark.conf.set(key, batch)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self._kept.append(out)
