@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+MEMO = 200_000
 _LOADED: dict[str, Codec] = {}
 
 
@@ -101,7 +101,7 @@ class Codec:
                     until, a = ra, self.parts[a][1]
                 else:
                     until, b = rb + 1, self.parts[b][0]
-            if len(self.fits_memo) < 2_000_000:
+            if len(self.fits_memo) < 400_000:
                 self.fits_memo[left, right] = found
         return found
 

@@ -165,7 +165,7 @@ def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFra
                             held += len(keys)
                     sketches[0].append(made[0])
                     sketches[1].append(made[1])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield from pack(by_part, tail)
                     by_part, held = [[] for _ in range(parts)], 0
                 n = hi - lo
@@ -272,6 +272,24 @@ def open_pairs(sketch: np.ndarray, size: np.ndarray, role: np.ndarray, group: np
     return tuple(map(np.concatenate, out))
 
 
+def close_twos(sketches: pa.Array, at: np.ndarray, size: np.ndarray, role: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+    """Which buckets of two members, rows at and at + 1, are pairs that may be links (as open_pairs)."""
+    if not len(at):
+        return np.zeros(0, bool)
+    offset = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64)
+    data = np.frombuffer(sketches.buffers()[2], np.uint8)
+    length = np.diff(offset)
+    x, y = size[at], size[at + 1]
+    ok = (length[at] == length[at + 1]) & ((role[at] == 0) | (role[at + 1] == 0)) & (group[at] != group[at + 1]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+    for m in np.unique(length[at[ok]]).tolist():
+        r = np.flatnonzero(ok & (length[at] == m))
+        for part in np.array_split(r, -(-len(r) * m // 4_000_000) or 1):
+            span = np.arange(m)
+            apart = BITS[data[offset[at[part]][:, None] + span] ^ data[offset[at[part] + 1][:, None] + span]].sum(1, dtype=np.int64)
+            ok[part] = apart * (100 + percent) <= (100 - percent) * (x[part] + y[part])
+    return ok
+
+
 def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, n: int) -> np.ndarray:
     """Pairs that span what all pairs connect, the closest first."""
     root = list(range(n))
@@ -309,8 +327,11 @@ def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, spanning: bo
         ident, size, role, group = (t.column(c).to_numpy() for c in ("set", "size", "role", "group"))
         sketches = t.column("sketch").combine_chunks()
         found, more = [np.zeros((0, 2), np.int64)], []
+        twos = cut[:-1][np.diff(cut) == 2]
+        i = twos[close_twos(sketches, twos, size.astype(np.int64), role, group, percent)]
+        found.append(np.stack([np.minimum(ident[i], ident[i + 1]), np.maximum(ident[i], ident[i + 1])], 1)[ident[i] != ident[i + 1]])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+            if hi - lo < 3 or (group[lo:hi] == group[lo]).all():
                 continue
             raw = sketches.slice(lo, hi - lo).to_pylist()
             length = np.fromiter(map(len, raw), np.int64, hi - lo)
@@ -411,7 +432,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     asked = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
     tokens = token_sets(docs.join(asked, F.col("doc_id") == F.col("rep")).select("text"), words)
     tokens = scratch.keep(tokens.dropDuplicates(["set"]), "tokens")
-    links = scratch.keep(verified(pairs, tokens, percent), "links")
+    links = scratch.keep(verified(pairs, tokens, percent), "links", batch=500)
     roots = scratch.keep(components(links, scratch), "roots")
     r = roots.withColumnRenamed("node", "n")
     again = members.join(active, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l"))).join(r, F.col("set") == F.col("n"), "left")
@@ -419,7 +440,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     apart = again.groupBy("bucket", "sub").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
     again = again.join(apart, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l")), "left_semi")
     more = bucket_pairs(again, sets, percent, False, count).select("a", "b")
-    more = scratch.keep(verified(more, tokens, percent), "more")
+    more = scratch.keep(verified(more, tokens, percent), "more", batch=500)
     if not more.isEmpty():
         roots = scratch.keep(components(links.unionByName(more), scratch), "roots")
     scratch.drop_all_but(stage, roots)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from corpusx.llm.bpe import PRETOKEN
 
-MEMO = 400_000
-BLOCK_BYTES = 8 << 20
+MEMO = 200_000
+BLOCK_BYTES = 4 << 20
 _LOADED: dict[str, PieceCounter] = {}
 
 
