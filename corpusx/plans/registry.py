@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpusx.plans import judging, overlap_queries, provenance_queries, retrieval, shaping
+
+MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return overlap_queries.overlap_verdict(spark, sf_dir)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: q for m in MODULES for k, (q, _) in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return {k: s for m in MODULES for k, (_, s) in m.Q.items() if s}
