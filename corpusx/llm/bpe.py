@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 200_000
+MEMO = 150_000
 _LOADED: dict[str, Codec] = {}
 
 
@@ -101,7 +101,7 @@ class Codec:
                     until, a = ra, self.parts[a][1]
                 else:
                     until, b = rb + 1, self.parts[b][0]
-            if len(self.fits_memo) < 400_000:
+            if len(self.fits_memo) < 150_000:
                 self.fits_memo[left, right] = found
         return found
 
@@ -173,8 +173,8 @@ def add_column(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 500):
+                s = b.slice(lo, 500)
                 made = fn(s.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*s.columns, *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], [*names, *[n for n, _, _ in fields]])
 
@@ -195,10 +195,20 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def bpe_both(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ids and decoded: encoding and decoding in one pass, so that one worker a task holds the vocabulary."""
+
+    def both(texts: list[str | None]) -> list[list]:
+        c = codec(path)
+        ids = [c.encode(x or "") for x in texts]
+        return [ids, [c.decode(i) for i in ids]]
+
+    return add_column(df, text_col, [("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())], both)
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, number and digest of its ids, digest of what they decode to."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
-    return coded.select(
+    return bpe_both(docs.select("doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -283,7 +283,7 @@ def close_twos(sketches: pa.Array, at: np.ndarray, size: np.ndarray, role: np.nd
     ok = (length[at] == length[at + 1]) & ((role[at] == 0) | (role[at + 1] == 0)) & (group[at] != group[at + 1]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
     for m in np.unique(length[at[ok]]).tolist():
         r = np.flatnonzero(ok & (length[at] == m))
-        for part in np.array_split(r, -(-len(r) * m // 4_000_000) or 1):
+        for part in np.array_split(r, -(-len(r) * m // 500_000) or 1):
             span = np.arange(m)
             apart = BITS[data[offset[at[part]][:, None] + span] ^ data[offset[at[part] + 1][:, None] + span]].sum(1, dtype=np.int64)
             ok[part] = apart * (100 + percent) <= (100 - percent) * (x[part] + y[part])
@@ -420,7 +420,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         inside = [k for k, e in enumerate(bands.edge[:-1]) if 2 ** r["g"] <= e < 2 ** (r["g"] + 1)] or [int(bands.of(np.array([2 ** r["g"]]))[0])]
         bands.allot({k: r["count"] // len(inside) + 1 for k in inside})
     count = partitions(spark)
-    stage = scratch.keep(shared_keys(index_rows(docs, bands, words, count).repartitionById(count, F.col("part"))), "index")
+    stage = scratch.keep(shared_keys(index_rows(docs, bands, words, count).repartitionById(count, F.col("part"))), "index", batch=1000)
     members = stage.where("bucket is not null").select("bucket", "sub", "role", "set")
     info = stage.where("bucket is null").select("doc_id", "size", "set", "own", "next")
     sets = info.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.max("own").alias("own"), F.max("next").alias("next"))
@@ -431,7 +431,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     needed = scratch.keep(sets.join(needed, F.col("set") == F.col("n"), "left_semi").select("rep"), "needed")
     asked = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
     tokens = token_sets(docs.join(asked, F.col("doc_id") == F.col("rep")).select("text"), words)
-    tokens = scratch.keep(tokens.dropDuplicates(["set"]), "tokens")
+    tokens = scratch.keep(tokens.dropDuplicates(["set"]), "tokens", batch=1000)
     links = scratch.keep(verified(pairs, tokens, percent), "links", batch=500)
     roots = scratch.keep(components(links, scratch), "roots")
     r = roots.withColumnRenamed("node", "n")
