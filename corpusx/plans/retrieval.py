@@ -1 +1,91 @@
+"""Retrieval queries: benchmark items as a batch of queries over documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusx.functions.text import sql_tokens, tokenize
+from corpusx.plans.tables import register, table
+
 Q: dict = {}
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, most_terms: int = 28, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score): queries (query_id, text) joined to postings on the term; statistics
+    cover the whole index."""
+    toks = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
+    post = toks.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    length = toks.groupBy("doc_id").agg(F.count("*").alias("dl"))
+    stats = docs.agg(F.count("*").alias("n")).join(length.agg(F.sum("dl").alias("words")))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    terms = F.slice(F.array_distinct(F.filter(tokenize(F.col("text")), lambda x: F.length(x) > 2)), 1, most_terms)
+    q = queries.select("query_id", F.explode(terms).alias("term"))
+    m = q.join(df, "term").join(post, "term").join(length, "doc_id").join(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("words") / F.col("n"))))
+    return m.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
+
+
+TOKS = sql_tokens()
+BM25 = f"""(WITH tk AS (SELECT doc_id, unnest({TOKS}) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM tk GROUP BY ALL),
+  len AS (SELECT doc_id, count(*) AS dl FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+  st AS (SELECT (SELECT count(*) FROM documents) AS n, sum(dl) AS words FROM len),
+  terms AS (SELECT item_id AS query_id, list_filter({TOKS}, lambda x: length(x) > 2) AS t FROM benchmark),
+  q AS (SELECT query_id, unnest(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i])[1:28]) AS term FROM terms)
+  SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (words / n)))) AS score
+  FROM q JOIN df USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL)"""
+
+
+def ranked(spark, sf):
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25_scores(queries, table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register(Q, f"SELECT query_id, doc_id, round(score, 4) AS score, round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 4) AS lexical FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {BM25} WINDOW w AS (PARTITION BY query_id))")
+def bm25(spark, sf):
+    """Min-max normalised per query; the bounds are aggregated, not windowed, so no query is one task."""
+    s = ranked(spark, sf)
+    ends = s.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    j = s.join(ends, "query_id")
+    lex = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return j.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.round(lex, 4).alias("lexical"))
+
+
+@register(Q, "SELECT doc_id, lang, source FROM documents d WHERE lang IN ('en', 'de') AND source <> 'src0' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)")
+def facet_filter(spark, sf):
+    bad = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, sf, "documents").where("lang in ('en', 'de') and source <> 'src0'").join(bad, "doc_id", "left_anti").select("doc_id", "lang", "source")
+
+
+HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * round(score, 4) / (1 + round(score, 4)) + 0.20 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.07 * CASE WHEN n_chars BETWEEN 500 AND 6000 THEN 1 ELSE 0 END, 6) AS score FROM {BM25} JOIN documents USING (doc_id))"""
+
+
+def hybrid(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    s = F.round("score", 4)
+    total = 0.28 * s / (1 + s) + 0.20 * (F.col("lang") == "en").cast("int") + 0.07 * F.col("n_chars").between(500, 6000).cast("int")
+    return ranked(spark, sf).join(d, "doc_id").select("query_id", "doc_id", F.round(total, 6).alias("score"))
+
+
+@register(Q, f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {HYBRID}) WHERE rank <= 10")
+def hybrid_score(spark, sf):
+    """Ten best documents a query (a top-k report)."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return hybrid(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "doc_id", "rank")
+
+
+@register(Q, f"""SELECT query_id, doc_id, CAST(stop - n_chars AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (
+  SELECT query_id, doc_id, n_chars, sum(n_chars + 2) OVER (PARTITION BY query_id ORDER BY rank DESC ROWS UNBOUNDED PRECEDING) - 2 AS stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {HYBRID}) JOIN documents USING (doc_id) WHERE rank <= 10)""")
+def pack_context(spark, sf):
+    """Offsets of each query's picks in its packed context, the strongest nearest the end."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    run = F.sum(F.col("n_chars") + 2).over(Window.partitionBy("query_id").orderBy(F.desc("rank"))) - 2
+    return hybrid_score(spark, sf).join(d, "doc_id").withColumn("stop", run).select("query_id", "doc_id", (F.col("stop") - F.col("n_chars")).alias("start"), "stop")
+
+
+@register(Q, "SELECT d.doc_id, l.doc_id IS NULL AS miss, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def merge_annotations(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("k"), "quality")
+    return table(spark, sf, "documents").join(lab, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.col("k").isNull().alias("miss"), "quality")
