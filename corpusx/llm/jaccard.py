@@ -12,8 +12,8 @@ Sets are identified by a digest of their tokens, so copies are indexed once. Key
 more share form buckets; within a bucket a parity sketch bounds the difference of each pair from
 below and turns away most pairs that can't be links, never one that is. What is left is verified on
 the sets themselves. The first pass verifies a spanning forest of each bucket; the second all pairs
-whose ends are still apart, so no link is lost while a group of k near copies costs about k
-verifications.
+whose ends are still apart, inside the bucket, so no link is lost and no bucket returns more rows
+than it has members.
 
 Defined cases: a text without words (null, empty) has the empty set and is linked with nothing; a
 text of fewer than n words has its whole word sequence as one shingle; documents with equal sets
@@ -309,15 +309,44 @@ def forest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, n: int) -> np.ndarra
     return np.array(kept, np.int64)
 
 
-def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, spanning: bool, count: int) -> DataFrame:
+def linked(of_a: np.ndarray, of_b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(of_a, of_b, assume_unique=True))
+    return 100 * common >= percent * (len(of_a) + len(of_b) - common)
+
+
+def join_groups(i: np.ndarray, j: np.ndarray, bound: np.ndarray, group: np.ndarray, tokens: list[bytes], percent: int) -> np.ndarray:
+    """Pairs of a bucket that are links and join two groups that no pair before them has joined."""
+    root = {g: g for g in group.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for e in np.argsort(bound, kind="stable").tolist():
+        a, b = find(int(group[i[e]])), find(int(group[j[e]]))
+        if a != b and linked(np.frombuffer(tokens[i[e]], np.uint64), np.frombuffer(tokens[j[e]], np.uint64), percent):
+            root[max(a, b)] = min(a, b)
+            kept.append(e)
+    return np.array(kept, np.int64)
+
+
+def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, count: int, tokens: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) to verify from members (bucket, sub, role, set, group) and the sets' sketches.
 
-    spanning: only a forest of each bucket, and a row with ``bucket`` and ``sub`` for each bucket
-    that has more pairs than its forest.
+    Without ``tokens``: a forest of each bucket, yet to be verified, and a row with ``bucket`` and
+    ``sub`` for each bucket that has more pairs than its forest. With ``tokens`` (set, tokens): the
+    links that join the groups of each bucket, verified here, so that a bucket gives fewer rows than
+    it has members.
     """
+    spanning = tokens is None
     s = sets.select(F.col("set").alias("s"), "size", "own", "next")
     sketch = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("next"))
     sketched = members.join(s, F.col("set") == F.col("s")).select("bucket", "sub", "role", "set", "group", "size", sketch.alias("sketch"))
+    if tokens is not None:
+        sketched = sketched.join(tokens.select(F.col("set").alias("t"), "tokens"), F.col("set") == F.col("t")).drop("t")
     dealt = sketched.repartition(count, "bucket", "sub").sortWithinPartitions("bucket", "sub", "set", "role")
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "bucket", "sub")])
 
@@ -327,11 +356,11 @@ def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, spanning: bo
         ident, size, role, group = (t.column(c).to_numpy() for c in ("set", "size", "role", "group"))
         sketches = t.column("sketch").combine_chunks()
         found, more = [np.zeros((0, 2), np.int64)], []
-        twos = cut[:-1][np.diff(cut) == 2]
+        twos = cut[:-1][(np.diff(cut) == 2) & spanning]
         i = twos[close_twos(sketches, twos, size.astype(np.int64), role, group, percent)]
         found.append(np.stack([np.minimum(ident[i], ident[i + 1]), np.maximum(ident[i], ident[i + 1])], 1)[ident[i] != ident[i + 1]])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if hi - lo < 3 or (group[lo:hi] == group[lo]).all():
+            if hi - lo < 2 + spanning or (group[lo:hi] == group[lo]).all():
                 continue
             raw = sketches.slice(lo, hi - lo).to_pylist()
             length = np.fromiter(map(len, raw), np.int64, hi - lo)
@@ -345,6 +374,10 @@ def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, spanning: bo
                     if len(e) < len(i):
                         more.append((int(bucket[lo]), int(sub[lo])))
                     i, j = i[e], j[e]
+                elif len(i):
+                    held = t.column("tokens").slice(lo, hi - lo).to_pylist()
+                    e = join_groups(i, j, bound, group[own], [held[x] for x in at.tolist()], percent)
+                    i, j = i[e], j[e]
                 x, y = ident[own][i], ident[own][j]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
         both = np.unique(np.concatenate(found), axis=0)
@@ -395,8 +428,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                ok.append(linked(x, y, percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -424,7 +456,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     members = stage.where("bucket is not null").select("bucket", "sub", "role", "set")
     info = stage.where("bucket is null").select("doc_id", "size", "set", "own", "next")
     sets = info.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.max("own").alias("own"), F.max("next").alias("next"))
-    first = scratch.keep(bucket_pairs(members.withColumn("group", F.col("set")), sets, percent, True, count), "pairs")
+    first = scratch.keep(bucket_pairs(members.withColumn("group", F.col("set")), sets, percent, count), "pairs")
     pairs, active = first.where("a is not null").select("a", "b"), first.where("a is null").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
     # every set with a pair stands in a forest, so these sets are all that is ever verified
     needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
@@ -439,8 +471,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     again = scratch.keep(again.select("bucket", "sub", "role", "set", F.coalesce("root", "set").alias("group")), "again")
     apart = again.groupBy("bucket", "sub").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
     again = again.join(apart, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l")), "left_semi")
-    more = bucket_pairs(again, sets, percent, False, count).select("a", "b")
-    more = scratch.keep(verified(more, tokens, percent), "more", batch=500)
+    more = scratch.keep(bucket_pairs(again, sets, percent, count, tokens).where("a is not null").select("a", "b"), "more", batch=500)
     if not more.isEmpty():
         roots = scratch.keep(components(links.unionByName(more), scratch), "roots")
     scratch.drop_all_but(stage, roots)
