@@ -39,6 +39,9 @@ from corpusx.scratch import Scratch, partitions
 #: Members of a bucket that are compared at once; larger buckets are dealt out by pairs of parts.
 PART = 2048
 MOST_SPARE = 16
+#: Bounds of a worker's memory: sets it remembers as indexed, keys it holds before it passes them on,
+#: keys it sorts at once. None changes the result.
+MOST_SEEN, MOST_HELD, MOST_SORTED = 500_000, 500_000, 200_000
 
 
 class Bands:
@@ -129,16 +132,29 @@ def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFra
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["part", "keys", "doc_id", "size", "set", "own", "next"]
 
-    def pack(by_part: list[list[bytes]], tail: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        for p, blobs in enumerate(by_part):
-            if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b"".join(blobs)], pa.binary()), *[pa.nulls(1, t) for t in tail]], names)
+    def pack(held: list[tuple[int, int, np.ndarray]], tail: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        keys = np.concatenate([k for _, _, k in held])
+        entry = np.repeat(np.arange(len(held)), [len(k) for _, _, k in held])
+        ident, role = np.array([i for i, _, _ in held], np.uint64), np.array([r for _, r, _ in held], np.uint32)
+        part = (keys % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, entry, low = part[order], entry[order], (keys[order] >> np.uint64(32)).astype("<u4")
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            own = entry[cut[p] : cut[p + 1]]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            count = np.diff(np.append(at, len(own))).astype(np.uint32)
+            sizes = np.array([len(at), len(own)], "<u4")
+            blob = sizes.tobytes() + ident[own[at]].astype("<u8").tobytes() + (role[own[at]] << np.uint32(24) | count).astype("<u4").tobytes() + low[cut[p] : cut[p + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary()), *[pa.nulls(1, t) for t in tail]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[pa.DataType] = []
         seen: set[int] = set()
-        by_part: list[list[bytes]] = [[] for _ in range(parts)]
-        held = 0
+        held: list[tuple[int, int, np.ndarray]] = []
+        n_keys = 0
         for b in batches:
             tail = [b.column(0).type, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             for lo, hi, data, offsets in chunks(b.column(1)):
@@ -149,50 +165,39 @@ def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFra
                 for i in range(hi - lo):
                     made: list[bytes | None] = [None, None]
                     if size[i] and int(ident[i]) not in seen:
-                        if len(seen) < 2_000_000:
+                        if len(seen) < MOST_SEEN:
                             seen.add(int(ident[i]))
                         own = h[first[i] : first[i] + size[i]]
                         for role, k in enumerate(roles(int(size[i]), bands, int(band[i]))):
                             keys, made[role] = index_keys(own, k, bands)
-                            p = (keys % np.uint64(parts)).astype(np.int64)
-                            order = np.argsort(p, kind="stable")
-                            cut = np.searchsorted(p[order], np.arange(parts + 1))
-                            low = (keys[order] >> np.uint64(32)).astype("<u4")
-                            used = np.flatnonzero(np.diff(cut))
-                            head = np.array([(int(ident[i]) >> 0) & 0xFFFFFFFF, int(ident[i]) >> 32], "<u4").tobytes()
-                            for j in used.tolist():
-                                by_part[j].append(head + np.array([role << 24 | (cut[j + 1] - cut[j])], "<u4").tobytes() + low[cut[j] : cut[j + 1]].tobytes())
-                            held += len(keys)
+                            held.append((int(ident[i]), role, keys))
+                            n_keys += len(keys)
                     sketches[0].append(made[0])
                     sketches[1].append(made[1])
-                if held > 1_000_000:
-                    yield from pack(by_part, tail)
-                    by_part, held = [[] for _ in range(parts)], 0
+                if n_keys > MOST_HELD:
+                    yield from pack(held, tail)
+                    held, n_keys = [], 0
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((ident % np.uint64(parts)).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0).slice(lo, n), pa.array(size.astype(np.int32)),
                      pa.array(ident.view(np.int64), mask=size == 0), pa.array(sketches[0], pa.binary()), pa.array(sketches[1], pa.binary())], names)
-        yield from pack(by_part, tail)
+        yield from pack(held, tail)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"part int, keys binary, doc_id {id_type}, size int, set long, own binary, next binary")
 
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, role) of packed keys."""
-    words = np.frombuffer(b"".join(blobs), "<u4")
-    at, heads = 0, []
-    lengths = words  # each entry: set (2 words), role and count, then the keys
-    n = len(words)
-    while at < n:
-        heads.append(at)
-        at += 3 + int(lengths[at + 2] & 0xFFFFFF)
-    heads = np.array(heads, np.int64)
-    count = (words[heads + 2] & 0xFFFFFF).astype(np.int64)
-    role = (words[heads + 2] >> 24).astype(np.int8)
-    ident = words[heads].astype(np.uint64) | words[heads + 1].astype(np.uint64) << np.uint64(32)
-    first = np.cumsum(count) - count
-    where = np.repeat(heads + 3 - first, count) + np.arange(int(count.sum()))
-    return words[where], np.repeat(ident, count), np.repeat(role, count)
+    """(key, set, role) of packed keys; a blob holds two counts, the sets, their roles and key counts, the keys."""
+    key, ident, role = [], [], []
+    while blobs:
+        blob = blobs.pop()
+        sets, n = np.frombuffer(blob, "<u4", 2).tolist()
+        tally = np.frombuffer(blob, "<u4", sets, 8 + 8 * sets)
+        count = (tally & 0xFFFFFF).astype(np.int64)
+        key.append(np.frombuffer(blob, "<u4", n, 8 + 12 * sets))
+        ident.append(np.repeat(np.frombuffer(blob, "<u8", sets, 8), count))
+        role.append(np.repeat((tally >> 24).astype(np.int8), count))
+    return np.concatenate(key), np.concatenate(ident), np.concatenate(role)
 
 
 def shared_keys(indexed: DataFrame) -> DataFrame:
@@ -200,8 +205,7 @@ def shared_keys(indexed: DataFrame) -> DataFrame:
     schema = indexed.drop("part", "keys").schema
     names = ["bucket", "sub", "role", *schema.names]
 
-    def settle(part: int, blobs: list[bytes], types) -> Iterator[pa.RecordBatch]:
-        key, ident, role = unpack(blobs)
+    def settle(part: int, key: np.ndarray, ident: np.ndarray, role: np.ndarray, types) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((role, ident, key))
         key, ident, role = key[order], ident[order], role[order]
         new = np.ones(len(key), bool)
@@ -244,7 +248,13 @@ def shared_keys(indexed: DataFrame) -> DataFrame:
                 n = info.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *info.columns[2:]], names)
         for part in sorted(blobs):
-            yield from settle(part, blobs.pop(part), types)
+            key, ident, role = unpack(blobs.pop(part))
+            slices = np.uint32(len(key) // MOST_SORTED + 1)
+            share = key % slices
+            for k in range(int(slices)):  # a key's members all lie in one slice
+                at = np.flatnonzero(share == k)
+                if len(at):
+                    yield from settle(part, key[at], ident[at], role[at], types)
 
     made = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     return indexed.mapInArrow(run, f"bucket long, sub long, role int, {made}")
