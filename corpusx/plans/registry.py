@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusx.plans import judging, overlap_queries, provenance_queries, retrieval, shaping
+from corpusx.plans import evidence, judging, overlap_queries, provenance_queries, retrieval, reviews, shaping
 
-MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries)
+MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence)
 
 
 def flagship(spark, sf_dir):
