@@ -343,15 +343,16 @@ def join_groups(i: np.ndarray, j: np.ndarray, bound: np.ndarray, group: np.ndarr
     return np.array(kept, np.int64)
 
 
-def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, count: int, tokens: DataFrame | None = None) -> DataFrame:
+def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, count: int, tokens: DataFrame | None = None, mark: bool = False) -> DataFrame:
     """Pairs (a, b) to verify from members (bucket, sub, role, set, group) and the sets' sketches.
 
     Without ``tokens``: a forest of each bucket, yet to be verified, and a row with ``bucket`` and
     ``sub`` for each bucket that has more pairs than its forest. With ``tokens`` (set, tokens): the
     links that join the groups of each bucket, verified here, so that a bucket gives fewer rows than
-    it has members.
+    it has members. With ``mark``: the members (set as a, role as b, bucket, sub) that have a pair in
+    another group at all, so that tokens are fetched for these alone.
     """
-    spanning = tokens is None
+    spanning = tokens is None and not mark
     s = sets.select(F.col("set").alias("s"), "size", "own", "next")
     sketch = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("next"))
     sketched = members.join(s, F.col("set") == F.col("s")).select("bucket", "sub", "role", "set", "group", "size", sketch.alias("sketch"))
@@ -365,7 +366,7 @@ def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, count: int,
         cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1]), [True]]))
         ident, size, role, group = (t.column(c).to_numpy() for c in ("set", "size", "role", "group"))
         sketches = t.column("sketch").combine_chunks()
-        found, more = [np.zeros((0, 2), np.int64)], []
+        found, where, more = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], []
         twos = cut[:-1][(np.diff(cut) == 2) & spanning]
         i = twos[close_twos(sketches, twos, size.astype(np.int64), role, group, percent)]
         found.append(np.stack([np.minimum(ident[i], ident[i + 1]), np.maximum(ident[i], ident[i + 1])], 1)[ident[i] != ident[i + 1]])
@@ -384,12 +385,21 @@ def bucket_pairs(members: DataFrame, sets: DataFrame, percent: int, count: int,
                     if len(e) < len(i):
                         more.append((int(bucket[lo]), int(sub[lo])))
                     i, j = i[e], j[e]
+                elif mark:
+                    at = own[np.unique(np.concatenate([i, j]))]
+                    found.append(np.stack([ident[at], role[at].astype(np.int64)], 1))
+                    where.append(np.stack([bucket[at], sub[at]], 1))
+                    continue
                 elif len(i):
                     held = t.column("tokens").slice(lo, hi - lo).to_pylist()
                     e = join_groups(i, j, bound, group[own], [held[x] for x in at.tolist()], percent)
                     i, j = i[e], j[e]
                 x, y = ident[own][i], ident[own][j]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
+        if mark:
+            rows = np.concatenate([np.concatenate(found), np.concatenate(where)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], schema=schema)
+            return
         both = np.unique(np.concatenate(found), axis=0)
         extra = np.array(sorted(set(more)), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([
@@ -481,6 +491,9 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     again = scratch.keep(again.select("bucket", "sub", "role", "set", F.coalesce("root", "set").alias("group")), "again")
     apart = again.groupBy("bucket", "sub").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
     again = again.join(apart, (F.col("bucket") == F.col("k")) & (F.col("sub") == F.col("l")), "left_semi")
+    marked = scratch.keep(bucket_pairs(again, sets, percent, count, mark=True), "marked").select(*[F.col(c).alias(f"m_{c}") for c in ("a", "b", "bucket", "sub")])
+    same = (F.col("bucket") == F.col("m_bucket")) & (F.col("sub") == F.col("m_sub")) & (F.col("set") == F.col("m_a")) & (F.col("role") == F.col("m_b"))
+    again = again.join(marked, same, "left_semi")
     more = scratch.keep(bucket_pairs(again, sets, percent, count, tokens).where("a is not null").select("a", "b"), "more", batch=500)
     if not more.isEmpty():
         roots = scratch.keep(components(links.unionByName(more), scratch), "roots")
