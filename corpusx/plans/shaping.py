@@ -43,15 +43,26 @@ def append_unique(spark, sf):
     return batch.join(have, F.col("id") == F.col("k"), "left").select("id", "n", v.alias("verdict"))
 
 
-FINGER = "SELECT {g} sha256(string_agg(k || '=' || h, ';' ORDER BY k)) AS fingerprint, count(*) AS n FROM (SELECT source, CAST(doc_id AS VARCHAR) AS k, sha256(coalesce(text, '')) AS h FROM documents) {b}"
+def digest_sum(digest):
+    """Sums of four runs of 15 hex digits of a SHA-256, joined and hashed: any order gives the same, and
+    partial sums combine before the shuffle, so no group is held in one row."""
+    part = lambda i: F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", *[part(i) for i in range(4)]), 256)
 
 
-@register(Q, FINGER.format(g="source,", b="GROUP BY source"))
+def sql_digest_sum(digest: str) -> str:
+    return "sha256(concat_ws(':', " + ", ".join(f"CAST(sum(CAST('0x' || substr({digest}, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + "))"
+
+
+ENTRY = "sha256(concat_ws('=', CAST(doc_id AS VARCHAR), sha256(coalesce(text, ''))))"
+
+
+@register(Q, f"SELECT source, {sql_digest_sum(ENTRY)} AS fingerprint, count(*) AS n FROM documents GROUP BY source")
 def fingerprint_set(spark, sf):
     """One order-independent hash per source over (id, text hash)."""
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: F.concat(x["k"], F.lit("="), x["h"])), ";")
-    return d.groupBy("source").agg(F.sha2(joined, 256).alias("fingerprint"), F.count("*").alias("n"))
+    entry = F.sha2(F.concat_ws("=", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
+    d = table(spark, sf, "documents").select("source", entry.alias("h"))
+    return d.groupBy("source").agg(digest_sum("h").alias("fingerprint"), F.count("*").alias("n"))
 
 
 @register(Q, "SELECT p_partkey, sha256(concat_ws('|', 'p_brand=' || p_brand, 'p_name=' || p_name, 'p_size=' || CAST(p_size AS VARCHAR))) AS record_hash FROM part")
@@ -60,11 +71,10 @@ def record_hash(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names]), 256).alias("record_hash"))
 
 
-@register(Q, "SELECT source, lang, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS manifest_hash FROM documents GROUP BY ALL")
+@register(Q, f"SELECT source, lang, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, {sql_digest_sum('sha256(text)')} AS manifest_hash FROM documents GROUP BY ALL")
 def compile_artifact_manifest(spark, sf):
-    d = table(spark, sf, "documents")
-    h = F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "")
-    return d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sha2(h, 256).alias("manifest_hash"))
+    d = table(spark, sf, "documents").select("source", "lang", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("h"))
+    return d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), digest_sum("h").alias("manifest_hash"))
 
 
 # ---------------------------------------------------------------- text shaping
