@@ -2,7 +2,8 @@
 
 Each stage works on everything that its predecessor kept and returns the columns of documents; the
 last returns what encoding gives. Defined cases: a repeated doc_id is judged text by text in exact
-deduplication, of rows that agree in id and text one stays; the near-duplicate stage keeps the
+deduplication, of rows that agree in id, normalised text and length one stays, so that every
+normalised text stays once; the near-duplicate stage keeps the
 document whose id is the least of its component; an empty input gives empty stages.
 """
 
@@ -35,24 +36,32 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, out_col="__toxic").where(F.col("__toxic") < REJECT).drop("__toxic")
 
 
+def one_each(docs: DataFrame, twice: DataFrame, keys: dict) -> DataFrame:
+    """``docs`` with one row for each of the keys (as for ``without``) listed in ``twice``."""
+    if twice.isEmpty():
+        return docs
+    small = F.broadcast(twice) if twice.count() <= MOST_BROADCAST else twice
+    keyed = docs.withColumns(keys)
+    on = None
+    for name in keys:
+        same = keyed[name].eqNullSafe(small[name])
+        on = same if on is None else on & same
+    again = keyed.join(small, on, "left_semi").dropDuplicates(list(keys))
+    return keyed.join(small, on, "left_anti").unionByName(again).drop(*keys)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "copies")
-    rows = scratch.keep(dedup.exact_dedup(docs, scratch=scratch), "groups")
+    rows = scratch.keep(dedup.judged(docs, scratch=scratch), "groups")
     scratch.drop_all_but(rows)
-    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    gone = scratch.keep(gone, "gone")
-    sha = F.sha2(dedup.normalised(F.col("text")).cast("binary"), 256)
-    twice = scratch.keep(rows.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("__id")).distinct(), "twice")
-    # rows whose id is listed with another text too must be told apart by their text; a row that
-    # repeats the one that stays in id and text is kept by its first copy
+    named = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    # a shorter copy may share its id with the row that stays: rows are told apart by their length too
+    gone = scratch.keep(rows.where(~F.col("kept")).select(*named, F.col("code_points").alias("__n")).distinct(), "gone")
+    twice = scratch.keep(rows.where("kept").groupBy(*named).count().where("count > 1").drop("count"), "twice")
     scratch.drop(rows)
-    kept = without(docs, gone, {"__id": docs["doc_id"], "__sha": sha})
-    if twice.isEmpty():
-        return kept
-    single = without(kept, twice, {"__id": kept["doc_id"]})
-    again = kept.join(F.broadcast(twice) if twice.count() <= MOST_BROADCAST else twice, kept["doc_id"].eqNullSafe(twice["__id"]), "left_semi")
-    longest = again.withColumns({"__sha": F.sha2(dedup.normalised(F.col("text")).cast("binary"), 256)})
-    return single.unionByName(longest.dropDuplicates(["doc_id", "__sha"]).drop("__sha"))
+    keys = {"__id": F.col("doc_id"), "__sha": F.sha2(dedup.normalised(F.col("text")).cast("binary"), 256)}
+    kept = without(docs, gone, keys | {"__n": F.coalesce(F.length("text"), F.lit(0))})
+    return one_each(kept, twice, keys)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

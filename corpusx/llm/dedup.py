@@ -77,19 +77,24 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), code_points."""
     scratch = scratch or Scratch(docs.sparkSession, "dedup")
     rows = equal_text_groups(docs, id_col, text_col, scratch)
     order = F.struct((-F.col("code_points")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    alone = rows.where("group is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    alone = rows.where("group is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, "code_points")
     many = rows.where("group is not null")
     best = many.groupBy("round", "group").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
     best = best.select(F.col("round").alias("r"), F.col("group").alias("g"), "best", "group_size")
     joined = many.join(best, (F.col("round") == F.col("r")) & (F.col("group") == F.col("g")))
     kept = (order == F.col("best")) | (F.col("doc_id").eqNullSafe(F.col("best.i")) & (-F.col("code_points") == F.col("best.c")))
-    return alone.unionByName(joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", kept.alias("kept"), sha))
+    return alone.unionByName(joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", kept.alias("kept"), sha, "code_points"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    return judged(docs, id_col, text_col, scratch).drop("code_points")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
