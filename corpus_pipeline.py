@@ -3,8 +3,8 @@
 Each stage works on everything that its predecessor kept and returns the columns of documents; the
 last returns what encoding gives. Defined cases: a repeated doc_id is judged text by text in exact
 deduplication, of rows that agree in id, normalised text and length one stays, so that every
-normalised text stays once; the near-duplicate stage keeps the
-document whose id is the least of its component; an empty input gives empty stages.
+normalised text stays once; the near-duplicate stage keeps of each
+component one text, that with the least id (a null id last); an empty input gives empty stages.
 """
 
 from __future__ import annotations
@@ -66,10 +66,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near")
-    found = jaccard.similar_documents(docs, words=5, percent=80, scratch=scratch)
-    gone = scratch.keep(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    scratch.drop_all_but(gone)
-    return without(docs, gone, {"__id": docs["doc_id"]})
+    rows = scratch.keep(jaccard.judged(docs, words=5, percent=80, scratch=scratch), "judged")
+    named = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    gone = scratch.keep(rows.where(~F.col("kept")).select(*named).distinct(), "gone")
+    twice = scratch.keep(rows.where("kept and n_shingles > 0").groupBy(*named).count().where("count > 1").drop("count"), "twice")
+    scratch.drop_all_but(gone, twice)
+    keys = {"__id": F.col("doc_id"), "__digest": jaccard.digest("text")}
+    return one_each(without(docs, gone, keys), twice, keys)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

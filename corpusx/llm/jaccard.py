@@ -17,8 +17,8 @@ than it has members.
 
 Defined cases: a text without words (null, empty) has the empty set and is linked with nothing; a
 text of fewer than n words has its whole word sequence as one shingle; documents with equal sets
-are linked; repeated doc_ids share a component; a null doc_id is its own component unless its set
-has other members.
+are linked; a row is known by its doc_id and the digest of its text, so rows that repeat an id or have
+none are judged text by text; a component is named by its least doc_id, null if no row of it has one.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.llm.components import components
@@ -127,10 +127,15 @@ def roles(size: int, bands: Bands, band: int) -> list[int]:
     return [band, band + 1] if 100 * size >= bands.percent * bands.edge[band + 1] else [band]
 
 
+def digest(text: str) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFrame:
     """Two kinds of rows, dealt by ``part``: packed keys of a task's sets, and a row per document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["part", "keys", "doc_id", "size", "set", "own", "next"]
+    names = ["part", "keys", "doc_id", "digest", "size", "set", "own", "next"]
 
     def pack(held: list[tuple[int, int, np.ndarray]], tail: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -156,7 +161,7 @@ def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFra
         held: list[tuple[int, int, np.ndarray]] = []
         n_keys = 0
         for b in batches:
-            tail = [b.column(0).type, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            tail = [b.column(0).type, pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             for lo, hi, data, offsets in chunks(b.column(1)):
                 h, doc = shingles(Words(data, offsets, SPACE), hi - lo, words)
                 size, ident, first = per_set(h, doc, hi - lo)
@@ -179,11 +184,11 @@ def index_rows(docs: DataFrame, bands: Bands, words: int, parts: int) -> DataFra
                     held, n_keys = [], 0
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((ident % np.uint64(parts)).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0).slice(lo, n), pa.array(size.astype(np.int32)),
+                    [pa.array((ident % np.uint64(parts)).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0).slice(lo, n), b.column(2).slice(lo, n), pa.array(size.astype(np.int32)),
                      pa.array(ident.view(np.int64), mask=size == 0), pa.array(sketches[0], pa.binary()), pa.array(sketches[1], pa.binary())], names)
         yield from pack(held, tail)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"part int, keys binary, doc_id {id_type}, size int, set long, own binary, next binary")
+    return docs.select("doc_id", "text", digest("text").alias("digest")).mapInArrow(run, f"part int, keys binary, doc_id {id_type}, digest binary, size int, set long, own binary, next binary")
 
 
 def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +238,7 @@ def shared_keys(indexed: DataFrame) -> DataFrame:
         n = len(rows)
         if n:
             bucket = (np.uint64(part) << np.uint64(32)) + key[rows].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(sub), pa.array(role[rows].astype(np.int32)), pa.nulls(n, types[0]), pa.nulls(n, pa.int32()), pa.array(ident[rows].view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(sub), pa.array(role[rows].astype(np.int32)), pa.nulls(n, types[0]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(ident[rows].view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
@@ -459,8 +464,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 MOST_BROADCAST = 1_000_000
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+def judged(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, digest, n_shingles, component_id (least doc_id reachable by links), kept.
+
+    Of a component the text with the least doc_id is kept (a null one last, of several the least
+    digest); rows that agree in id and text with it each say kept.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -474,15 +483,16 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     count = partitions(spark)
     stage = scratch.keep(shared_keys(index_rows(docs, bands, words, count).repartitionById(count, F.col("part"))), "index", batch=1000)
     members = stage.where("bucket is not null").select("bucket", "sub", "role", "set")
-    info = stage.where("bucket is null").select("doc_id", "size", "set", "own", "next")
-    sets = info.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.max("own").alias("own"), F.max("next").alias("next"))
+    info = stage.where("bucket is null").select("doc_id", "digest", "size", "set", "own", "next")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    sets = info.where("set is not null").groupBy("set").agg(F.min(order).alias("rep"), F.first("size").alias("size"), F.max("own").alias("own"), F.max("next").alias("next"))
     first = scratch.keep(bucket_pairs(members.withColumn("group", F.col("set")), sets, percent, count), "pairs")
     pairs, active = first.where("a is not null").select("a", "b"), first.where("a is null").select(F.col("bucket").alias("k"), F.col("sub").alias("l"))
     # every set with a pair stands in a forest, so these sets are all that is ever verified
     needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    needed = scratch.keep(sets.join(needed, F.col("set") == F.col("n"), "left_semi").select("rep"), "needed")
+    needed = scratch.keep(sets.join(needed, F.col("set") == F.col("n"), "left_semi").select(F.col("rep.i").alias("rep"), F.col("rep.d").alias("rep_digest")), "needed")
     asked = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
-    tokens = token_sets(docs.join(asked, F.col("doc_id") == F.col("rep")).select("text"), words)
+    tokens = token_sets(docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (digest("text") == F.col("rep_digest")), "left_semi").select("text"), words)
     tokens = scratch.keep(tokens.dropDuplicates(["set"]), "tokens", batch=1000)
     links = scratch.keep(verified(pairs, tokens, percent), "links", batch=500)
     roots = scratch.keep(components(links, scratch), "roots")
@@ -498,10 +508,16 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     if not more.isEmpty():
         roots = scratch.keep(components(links.unionByName(more), scratch), "roots")
     scratch.drop_all_but(stage, roots)
-    by_set = info.join(roots.withColumnRenamed("node", "n"), F.col("set") == F.col("n"), "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
-    least = by_set.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "q")
+    by_set = info.join(roots.withColumnRenamed("node", "n"), F.col("set") == F.col("n"), "left").select("doc_id", "digest", F.col("size").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
+    least = by_set.where("root is not null").groupBy("root").agg(F.min(order).alias("least")).withColumnRenamed("root", "q")
     joined = by_set.join(least, F.col("root") == F.col("q"), "left")
-    return joined.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    kept = F.col("q").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.i")) & (F.col("digest") == F.col("least.d")))
+    return joined.select("doc_id", "digest", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("least.i", "doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
+    return judged(docs, words, percent, id_col, text_col, scratch).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
