@@ -38,7 +38,6 @@ from corpusx.scratch import Scratch, partitions
 
 #: Members of a bucket that are compared at once; larger buckets are dealt out by pairs of parts.
 PART = 2048
-MOST_SPARE = 16
 #: Bounds of a worker's memory: sets it remembers as indexed, keys it holds before it passes them on,
 #: keys it sorts at once. None changes the result.
 MOST_SEEN, MOST_HELD, MOST_SORTED = 500_000, 500_000, 200_000
@@ -65,21 +64,28 @@ class Bands:
         return (100 - self.percent) * 2 * (self.edge[band + 1] - 1) // (100 + self.percent) + 1
 
     def allot(self, sets: dict[int, int]) -> None:
-        """Choose per band how many segments keep neighbourhoods, given about how many sets it has."""
+        """Choose per band how many segments keep neighbourhoods, given about how many sets it has.
+
+        A set whose empty segments outnumber its usable spares shares keys with every other such set,
+        so the spares grow with the number of empty segments to be expected in the band.
+        """
         for band, n in sets.items():
             self.upto(int(self.edge[-1] if band + 1 >= len(self.edge) else self.edge[band + 1]))
             m = self.segments(band)
             t = max(self.edge[band], 1) / m
             empty = math.exp(-t)
-            best = None
-            for spare in range(min(m, MOST_SPARE) + 1):
-                short, p = 1.0, math.exp(-m * empty)
-                for e in range(spare + 1):  # chance of more empty segments than spares
-                    short -= p
-                    p *= m * empty / (e + 1)
-                cost = n * spare * t + 0.05 * (n * max(short, 0.0)) ** 2 / 2 * m * empty**2
+            mean, usable = m * empty, 1 - empty * (1 + t)
+            met = m * empty**2  # empty segments that two sets have in common
+            best, short, counted = None, 1.0, 0
+            for spare in range(m + 1):
+                while counted <= spare * usable:  # chance of more empty segments than usable spares
+                    short -= math.exp(counted * math.log(mean) - mean - math.lgamma(counted + 1)) if mean else float(counted == 0)
+                    counted += 1
+                cost = n * spare * t + 0.05 * (n * max(short, 0.0)) ** 2 / 2 * met
                 if best is None or cost < best[0]:
                     best = (cost, spare)
+                if short * n < 1e-3:
+                    break
             self.spare[band] = best[1]
 
 
