@@ -4,8 +4,9 @@ A normalised text is read as its length followed by its bytes. Round by round, g
 hold several documents are split by the next digit, a run of successive bytes whose width grows
 eightfold, until a group is a single document or its documents have ended; documents of an ended
 group have been equal in every byte, so no digest decides equality. Digits are counted before they
-are shuffled (copies of one text cost a row per task), texts leave the scan once, and only members
-of unsettled groups carry theirs on.
+are shuffled (copies of one text cost a row per task), only members of unsettled groups carry their
+text on, and while the groups of a round are few they are broadcast, so that no text is shuffled at
+all and the members of a large group stay on the tasks that read them.
 
 Defined cases: a null text counts as empty; white space that the normalisation deletes doesn't
 count; of equal texts the row with the most code points stays, then the smallest doc_id (a null id
@@ -23,6 +24,9 @@ from corpusx.scratch import Scratch
 #: The characters that normalisation deletes.
 BLANK = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 FIRST, GROWTH, WIDEST = 64, 8, 1 << 21
+#: Groups (about 100 bytes each) that are broadcast to the rows; beyond that both sides are shuffled
+#: and adaptive execution splits what is skewed. Changes the plan alone.
+MOST_BROADCAST = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -40,7 +44,12 @@ def split(members: DataFrame, keys: list[str], scratch: Scratch, name: str) -> D
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return members.join(groups.hint("shuffle_hash"), on, "left").drop(*[f"__{k}" for k in keys])
+    return members.join(sized(groups), on, "left").drop(*[f"__{k}" for k in keys])
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """A written table of groups with the hint that its size asks for: no text moves while it is small."""
+    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups.hint("shuffle_hash")
 
 
 def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -86,8 +95,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
     alone = rows.where("group is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, "code_points")
     many = rows.where("group is not null")
     best = many.groupBy("round", "group").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    best = best.select(F.col("round").alias("r"), F.col("group").alias("g"), "best", "group_size")
-    joined = many.join(best, (F.col("round") == F.col("r")) & (F.col("group") == F.col("g")))
+    best = scratch.keep(best.select(F.col("round").alias("r"), F.col("group").alias("g"), "best", "group_size"), "best")
+    joined = many.join(sized(best), (F.col("round") == F.col("r")) & (F.col("group") == F.col("g")))
     kept = (order == F.col("best")) | (F.col("doc_id").eqNullSafe(F.col("best.i")) & (-F.col("code_points") == F.col("best.c")))
     return alone.unionByName(joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", kept.alias("kept"), sha, "code_points"))
 
