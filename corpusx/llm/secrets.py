@@ -1,8 +1,8 @@
 """Secret scans over a document-partitioned trigram index.
 
 From the syntax tree of each rule's regular expression a Boolean query over trigrams is derived
-that any match must satisfy. Each block of documents builds postings (trigram -> rows of the block)
-for the trigrams that the queries name; a rule's candidates are the intersections and unions of
+that any match must satisfy. Each block of documents is inverted in one reading of its bytes into
+postings (trigram -> rows of the block) of the trigrams that the queries name; a rule's candidates are the intersections and unions of
 postings that its query asks for, and only candidates are verified with the expression itself. A
 rule without mandatory trigrams scans every row. The index is sharded by document, so nothing is
 shuffled and a lost task rebuilds only its own block.
@@ -22,10 +22,11 @@ from re import _parser as syntax
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusx.llm.kernels import LOWER, chunks
+
 TRUE: tuple = ("all",)
 
 
@@ -148,10 +149,35 @@ def trigrams(q: tuple) -> set[str]:
     return {q[1]} if q[0] == "tri" else set().union(*(trigrams(x) for x in q[1:])) if q != TRUE else set()
 
 
-def postings(texts: pa.Array, wanted: list[str]) -> dict[str, np.ndarray]:
-    """Trigram -> sorted rows of the block in which it occurs, in either case."""
-    low = pc.ascii_lower(texts)
-    return {t: np.flatnonzero(pc.match_substring(low, t).to_numpy(zero_copy_only=False)) for t in wanted}
+class Postings:
+    """The inverted index of a block: for each wanted trigram the sorted rows that hold it, in either case.
+
+    Every text is read once: a number is formed of each three successive bytes, a table of all 2^24
+    numbers says which trigram of the rules it is, and the (trigram, row) pairs that are left are
+    sorted into postings.
+    """
+
+    def __init__(self, wanted: list[str]) -> None:
+        self.wanted = {t: i for i, t in enumerate(wanted)}
+        self.number = np.zeros(1 << 24, np.int16)
+        for t, i in self.wanted.items():
+            x, y, z = t.encode("ascii")
+            self.number[x << 16 | y << 8 | z] = i + 1
+
+    def build(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        pairs = [np.zeros(0, np.int64)]
+        n = len(texts)
+        for lo, _, data, offsets in chunks(texts):
+            low = LOWER[data].astype(np.int32)
+            found = self.number[low[:-2] << 16 | low[1:-1] << 8 | low[2:]] if len(low) > 2 else np.zeros(0, np.int16)
+            at = np.flatnonzero(found)
+            row = np.searchsorted(offsets, at, "right") - 1
+            whole = at + 2 < offsets[row + 1]  # not across two texts
+            pairs.append(np.unique((found[at[whole]].astype(np.int64) - 1) * n + lo + row[whole]))
+        every = np.concatenate(pairs)
+        every.sort()
+        cut = np.searchsorted(every, np.arange(len(self.wanted) + 1) * n)
+        return {t: every[cut[i] : cut[i + 1]] - i * n for t, i in self.wanted.items()}
 
 
 def candidates(q: tuple, index: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -178,12 +204,12 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col:
     wanted = sorted(set().union(*map(trigrams, queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [r.regex for r in rules]
+        compiled, inverted = [r.regex for r in rules], Postings(wanted)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 texts = b.column(1)
-                index = postings(texts, wanted)
+                index = inverted.build(texts)
                 found: list[list] = [[] for _ in range(b.num_rows)]
                 for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
                     for i in candidates(q, index, b.num_rows).tolist():

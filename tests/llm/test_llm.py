@@ -125,13 +125,32 @@ def test_langid(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs.select("doc_id", "text"), none).collect()} == {"und"}
 
 
-def test_langid_forward_sums_segmentations():
-    pieces = langid.Pieces(np.sort(np.array([langid.piece_hash(p) for p in (b"a", b"b", b"ab")], np.uint64)))
-    p = np.array([[0.5], [0.3], [0.2], [0.0]])
-    number = {x: int(pieces.numbers(np.array([langid.piece_hash(x)]))[0]) for x in (b"a", b"b", b"ab")}
-    letters = np.frombuffer(b"ab", np.uint8).reshape(1, 2)
-    got = langid.forward(pieces.lattice(letters), p)[0, -1, 0]
-    assert abs(got - (p[number[b"a"], 0] * p[number[b"b"], 0] + p[number[b"ab"], 0])) < 1e-12
+def segmentations(word, prob):
+    """Sum over all cuts of a word into pieces of the products of their probabilities, one by one."""
+    return 1.0 if not word else sum(prob[word[:k]] * segmentations(word[k:], prob) for k in range(1, len(word) + 1) if word[:k] in prob)
+
+
+def test_langid_forward_sums_segmentations(monkeypatch):
+    prob = {b"a": 0.3, b"b": 0.2, b"ab": 0.1, b"ba": 0.05, b"aba": 0.15, b"bb": 0.2}
+    hashes = np.sort(np.array([langid.piece_hash(x) for x in prob], np.uint64))
+    pieces = langid.Pieces(hashes, 3)
+    p = np.zeros((len(prob) + 1, 1))
+    for x, v in prob.items():
+        p[int(pieces.numbers(np.array([langid.piece_hash(x)]))[0])] = v
+    words = [bytes(np.random.default_rng(i).choice([97, 98], i % 14 + 1).astype(np.uint8)) for i in range(60)]
+    monkeypatch.setattr(langid, "EXACT", 4)
+    for block in (3, 5, 4096):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for at, letters, size in langid.by_length(words):
+            got = langid.log_probability(pieces, letters, size, p)[:, 0]
+            assert np.allclose(got, [np.log(segmentations(words[i], prob)) for i in at])
+    long = b"abbab" * 4000  # 20,000 bytes: no underflow, the same as the product of a transfer matrix
+    got = float(langid.log_probability(pieces, np.frombuffer(long, np.uint8).reshape(1, -1), np.array([len(long)]), p)[0, 0])
+    last, scale = [1.0], 0.0
+    for end in range(1, len(long) + 1):
+        last.append(sum(last[-k] * prob.get(long[end - k : end], 0.0) for k in range(1, min(3, len(last)) + 1)))
+        last, scale = [x / last[-1] for x in last[-3:]], scale + np.log(last[-1])
+    assert abs(got - scale) < 1e-6 * abs(scale)
 
 
 def test_exact_dedup(docs, empty):
@@ -153,6 +172,23 @@ def test_secrets(docs, empty):
     assert secrets.trigram_query("[0-9a-f]+") == secrets.TRUE and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_index_and_added_rules(spark):
+    rules = secrets.BASE + secrets.MORE
+    words = ["PassWord", "= 'abcdefghijklmn'", "AKIA", "ABCDEFGHIJKLMNOP", "ghp_" + "a1B2" * 9, "xoxb-12345678901234567890", "to", "ken", "é", "", "-----BEGIN RSA PRIVATE KEY-----", "QUJD", "-----END RSA PRIVATE KEY-----", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10]
+    texts = ["".join(np.random.default_rng(i).choice(words, 5)) for i in range(200)] + [None, ""]
+    wanted = sorted(set().union(*(secrets.trigrams(secrets.trigram_query(r.pattern, r.any_case)) for r in rules)))
+    import pyarrow as pa
+
+    index = secrets.Postings(wanted).build(pa.array(texts))
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    assert {t: index[t].tolist() for t in wanted} == {t: [i for i, x in enumerate(texts) if t in fold(x)] for t in wanted}
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((s, k, e) for k, r in enumerate(rules) for s, e in secrets.verify(r, r.regex, t or ""))
+        assert got[i] == [(rules[k].kind, s, e) for s, k, e in want]
+    assert {k for x in got.values() for k, _, _ in x} == {r.kind for r in rules}
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (2, 50)])
 def test_jaccard_components(spark, docs, empty, words, percent):
     rng = np.random.default_rng(words)
