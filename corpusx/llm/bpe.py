@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 150_000
+#: Code points of a pre-token that is remembered at all, so that the memo is bounded in bytes too.
+MEMO_LENGTH = 64
 _LOADED: dict[str, Codec] = {}
 
 
@@ -142,9 +144,11 @@ class Codec:
             for p in self.pretoken.findall(part):
                 ids = memo.get(p)
                 if ids is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[p] = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
+                    ids = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
+                    if len(p) <= MEMO_LENGTH:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[p] = ids
                 out.append(ids)
         return b"".join(out)
 
@@ -165,7 +169,9 @@ def codec(path: str) -> Codec:
 
 
 def add_column(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], fn) -> DataFrame:
-    """``df`` with columns that ``fn`` makes from the values of ``text_col``, batch by batch."""
+    """``df`` with columns that ``fn`` makes from the values of ``text_col``, batch by batch, in place of
+    columns of their names."""
+    df = df.drop(*[n for n, _, _ in fields if n != text_col])
     names = df.columns
     at = names.index(text_col)
     types = [t for _, _, t in fields]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusx.llm.bpe import PRETOKEN
+from corpusx.llm.bpe import MEMO_LENGTH, PRETOKEN
 
 MEMO = 200_000
 BLOCK_BYTES = 4 << 20
@@ -56,14 +56,16 @@ class PieceCounter:
 
     def pieces(self, distinct: list[str]) -> np.ndarray:
         new = [p for p in distinct if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = distinct
+        found: dict[str, int] = {}
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[p] = len(e)
-        return np.fromiter((self.memo[p] for p in distinct), np.int64, len(distinct))
+                found[p] = len(e)
+        out = np.fromiter((found[p] if p in found else self.memo[p] for p in distinct), np.int64, len(distinct))
+        if len(self.memo) + len(found) > MEMO:
+            self.memo.clear()
+        self.memo |= {p: n for p, n in found.items() if len(p) <= MEMO_LENGTH}
+        return out
 
 
 def counter(path: str) -> PieceCounter:

@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col``, the probability that the text is toxic."""
+    """``docs`` with ``out_col``, the probability that the text is toxic, in place of a column of that name."""
+    docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index(text_col), docs.columns
     mask = np.uint64((1 << 20) - 1)
