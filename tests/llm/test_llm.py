@@ -47,13 +47,29 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_topk_stops_early_and_resolves():
+def test_topk_reads_little_where_few_can_qualify(spark):
     rng = np.random.default_rng(2)
-    v = rng.integers(-5, 6, (400, 3))
-    q = np.array([[40, 1, 0]])
-    got = topk.search_block(q, np.array([10**6]), v, np.arange(400), 4)
-    want = sorted((-int(q[0] @ v[j]), j) for j in range(400))[:4]
-    assert [(j, s) for _, j, s in got] == [(j, -s) for s, j in want]
+    v = np.round(rng.pareto(1.2, (4000, 6)) * 4).clip(0, 10**6) * rng.choice([1, -1], 6)  # a few vectors tower above the others
+    q = np.round(rng.normal(0, 20, (9, 6)) + 40) * np.sign(v.sum(0))
+    ids = rng.permutation(4000)
+    top, entries = topk.search_partition(iter([(ids[:2500], v[:2500]), (ids[2500:], v[2500:])]), np.full(9, -1), q, 5)
+    for i in range(9):
+        want = sorted((-int(q[i] @ v[j]), int(ids[j])) for j in range(4000))[:5]
+        assert [(-int(s), int(j)) for j, s in zip(*top[i], strict=True)] == want
+    assert entries.max() < 0.3 * v.size
+    rows = [(i, [float(x) / 64 for x in r]) for i, r in enumerate(v[:600].tolist())]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=3, entries=True).collect()
+    assert len(got) == 18 and all(0 < r["entries"] <= 600 * 6 for r in got)
+
+
+def test_topk_large_numbers_and_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rows = [(i, [float((i * 7919) % 97) * 2.0**22, float(i % 5) * 2.0**24, 1.0]) for i in range(40)]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4, scale=1).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    score = lambda a, b: sum(int(x) * int(y) for x, y in zip(rows[a][1], rows[b][1], strict=True))
+    assert got == {i: [j for _, j in sorted((-score(i, j), j) for j in range(40) if j != i)[:4]] for i in (0, 10, 20, 30)}
 
 
 def test_mixing(docs, empty):
