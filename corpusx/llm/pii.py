@@ -1,14 +1,24 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
-High-recall generators propose overlapping spans of four kinds; format and context features turn
-each into a small tuple; boosted regression trees are grown on the counts of distinct tuples (one
-row per tuple, however large the corpus) and come back as SQL expressions; a threshold per kind,
-calibrated on documents that didn't train, selects what is redacted. There are no labels for spans,
-so those that pass the strict base rules teach as positives and other candidates as negatives. Base spans
-always stay; candidates that score above the threshold and overlap no base span of their kind are added.
+High-recall generators propose overlapping spans of four kinds; features of format and context turn
+each into a small tuple; boosted regression trees are grown on the counts of distinct tuples and
+come back as SQL expressions; a threshold per kind, calibrated on documents that didn't train,
+selects what is redacted. Every feature has few values, so that a kind has at most ``MOST_TUPLES``
+tuples however large the corpus is, and all of them count.
+
+There are no labels for spans. Spans that pass the strict base rules teach as positives. Reliable
+negatives are candidates that can't be what they look like: numbers of the right length that fail
+the checksum, addresses with parts over 255, too few or too many digits, names at hosts without a
+domain, and what a word before it calls a version, an order or the like. All other candidates (spelt-out ``(at)`` and ``[dot]``, 00 for +, numbers grouped by dots) are
+unlabelled: they don't teach, and the trees decide about them. What defines a base match or a
+reliable negative (the checksum, parts over 255, those words, the + and the @) is no feature, so the trees have to
+learn the format and the surroundings. Base spans always stay; an unlabelled candidate that reaches
+the threshold and overlaps no base span of its kind is added; of added spans that overlap, the
+first stays, of those that start together the longest.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points, end exclusive;
-rows that repeat give repeated results; a corpus without candidates yields no model and no spans.
+rows that repeat give repeated results; a corpus without candidates, or with one class only, yields
+no model and no added spans.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ BASE = {
 }
 #: High-recall generators of candidates; spans of one kind may overlap.
 WIDE = {
-    "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)++"],
+    "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)*+"],
     "ip": [r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3,5}", r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"],
     "card": [r"(?<![0-9])[0-9]{3,19}(?:[\x20.-][0-9]{2,7}){0,5}", r"(?<![0-9])[0-9]{14,19}(?![0-9])"],
     "phone": [r"(?:\+|\b00|\()?(?<![0-9])[0-9]{1,4}[\x20().0-9/-]{5,20}[0-9]"],
@@ -43,9 +53,12 @@ MAYBE = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20.-]?[0-9]){11}"),
     "phone": lambda t: t.rlike(r"[0-9][\x20().0-9/-]{5}"),
 }
+#: Words before a span that speak for personal data, and for other numbers.
 CUES = r"(?i)(?:mail|call|tel|phone|mobile|fax|contact|card|visa|account|pay|ip|host|server|address|reach)[^A-Za-z]{0,4}$"
-TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.98
-MOST_TUPLES = 20_000
+OTHER = r"(?i)(?:version|ver|v|no|nr|order|invoice|item|part|serial|page|section|build|id|isbn)[^A-Za-z]{0,3}$"
+TREES, DEPTH, RATE, PRECISION, WIDTH = 24, 3, 0.3, 0.98, 128
+#: Distinct feature tuples of a kind: the product of the numbers of values in ``features``, both labels, both folds.
+MOST_TUPLES = 5 * 8 * 5 * 8 * 2 * 4 * 4
 
 
 def prefix_sums(lengths: Column, width: int = 128) -> Column:
@@ -107,25 +120,42 @@ VALID = {
 }
 
 
+def steps(x: Column, *edges: int) -> Column:
+    """How many of the edges x reaches."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (x >= e).cast("int")
+    return out
+
+
 def features(kind: str, c: Column) -> dict[str, Column]:
     """Small integers of format and context; the same names for all kinds."""
-    hit, n = c["hit"], F.length(digits(c["hit"]))
+    hit, groups = c["hit"], F.filter(F.split(c["hit"], "[^0-9A-Za-z]+"), lambda g: F.length(g) > 0)
     flag = lambda x: x.cast("int")
     return {
-        "size": F.least(F.length(hit).cast("int"), F.lit(40)),
-        "digits": F.least(n.cast("int"), F.lit(20)),
-        "groups": F.least(F.size(F.split(hit, r"[\x20.\-()/@]+")), F.lit(8)),
-        "separators": flag(hit.contains(" ")) + 2 * flag(hit.contains("-")) + 4 * flag(hit.contains(".")) + 8 * flag(hit.contains("(")),
-        "plus": flag(hit.startswith("+")),
-        "zeros": flag(hit.startswith("0")),
-        "at": flag(hit.contains("@")),
+        "groups": steps(F.size(groups), 2, 3, 4, 6),
+        "longest": steps(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), 2, 3, 4, 5, 7, 10, 14),
+        "last": steps(F.length(F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit(""))), 2, 3, 4, 5),
+        "separators": flag(hit.contains(" ")) + 2 * flag(hit.contains("-")) + 4 * flag(hit.contains("(") & ~hit.rlike(r"\(at\)|\(dot\)")),
         "cue": flag(c["before"].rlike(CUES)),
-        "valid": flag(VALID[kind](hit)),
         "glued": flag(c["before"].rlike(r"[A-Za-z0-9=_#/\"'-]$")) + 2 * flag(c["after"].rlike(r"[A-Za-z0-9_@/\"'-]")),
     }
 
 
-NAMES = ("size", "digits", "groups", "separators", "plus", "zeros", "at", "cue", "valid", "glued")
+NAMES = ("groups", "longest", "last", "separators", "cue", "glued")
+
+
+def impossible(kind: str, c: Column) -> Column:
+    """Candidates that can't be personal data of the kind by their form, or that are said to be another number."""
+    hit, n = c["hit"], F.length(digits(c["hit"]))
+    parts = F.split(hit, r"\.")
+    by_form = {
+        "email": ~hit.rlike(r"\.|\(dot\)|\[dot\]"),
+        "ip": (F.size(parts) != 4) | F.exists(parts, lambda p: (F.length(p) > 3) | (p.cast("int") > 255)),
+        "card": ~n.between(12, 19) | ~luhn(hit),
+        "phone": ~n.between(7, 15) | hit.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$"),
+    }
+    return by_form[kind] | c["before"].rlike(OTHER)
 
 
 def annotate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,6 +166,7 @@ def annotate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = find(df, "__t", {f"base_{k}": (F.col(f"__m_{k}"), BASE[k]) for k in KINDS} | {f"wide_{k}_{i}": (F.col(f"__m_{k}"), p) for k in KINDS for i, p in enumerate(WIDE[k])})
     df = df.withColumns({f"wide_{k}": F.array_distinct(F.concat(*[f"wide_{k}_{i}" for i in range(len(WIDE[k]))])) for k in KINDS})
     df = df.withColumns({f"base_{k}": passed(k) for k in KINDS})
+    df = df.withColumns({f"pieces_{k}": pieces(F.col(f"base_{k}")) for k in KINDS})
     return df.withColumns({f"wide_{k}": described(k) for k in KINDS}).select("doc_id", *[f"base_{k}" for k in KINDS], *[f"wide_{k}" for k in KINDS])
 
 
@@ -144,11 +175,21 @@ def passed(kind: str) -> Column:
     return F.transform(F.filter(f"base_{kind}", lambda s: VALID[kind](s["hit"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
+def pieces(spans: Column) -> Column:
+    """An array cut into pieces of ``WIDTH``, in order."""
+    none = F.filter(F.array(spans), lambda p: F.lit(False))
+    return F.when(F.size(spans) == 0, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(WIDTH)), lambda o: F.slice(spans, o + 1, WIDTH)))
+
+
 def described(kind: str) -> Column:
-    """Candidates with whether they are a base span, whether they touch one, and their features."""
-    same = lambda c: F.exists(f"base_{kind}", lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"]))
-    touches = lambda c: F.exists(f"base_{kind}", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    return F.transform(f"wide_{kind}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), same(c).cast("int").alias("label"), touches(c).alias("taken"), *[v.alias(n) for n, v in features(kind, c).items()]))
+    """Candidates with their label (1 a base span, 0 impossible, else null), whether they touch a base span
+    of the kind, and their features. A base span is looked for among pieces of ``WIDTH`` base spans, then in one."""
+    # the last base span that starts before the candidate's end: base spans don't overlap and are in order
+    last_before = lambda end: F.try_element_at(F.filter(F.try_element_at(F.filter(f"pieces_{kind}", lambda p: p[0]["start"] < end), F.lit(-1)), lambda b: b["start"] < end), F.lit(-1))
+    spans = F.transform(f"wide_{kind}", lambda c: F.struct(c.alias("c"), last_before(c["end"]).alias("b")))
+    label = lambda x: F.when((x["b"]["start"] == x["c"]["start"]) & (x["b"]["end"] == x["c"]["end"]), 1).when(F.coalesce(x["b"]["end"] > x["c"]["start"], F.lit(False)), None).when(impossible(kind, x["c"]), 0)
+    taken = lambda x: F.coalesce(x["b"]["end"] > x["c"]["start"], F.lit(False))
+    return F.transform(spans, lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), label(x).alias("label"), taken(x).alias("taken"), *[v.alias(n) for n, v in features(kind, x["c"]).items()]))
 
 
 # ---------------------------------------------------------------- boosting on counts
@@ -219,17 +260,17 @@ def tree_column(tree, c: Column) -> Column:
 
 
 def train(annotated: DataFrame) -> dict[str, tuple[list, float]]:
-    """Trees and threshold per kind; the driver receives counts per distinct feature tuple only."""
-    tagged = lambda kind: F.transform(f"wide_{kind}", lambda c: F.struct(F.lit(kind).alias("kind"), c["label"].alias("label"), *[c[n].alias(n) for n in NAMES]))
+    """Trees and threshold per kind. The driver receives the counts of all distinct labelled feature
+    tuples, at most ``MOST_TUPLES`` rows a kind."""
+    tagged = lambda kind: F.transform(F.filter(f"wide_{kind}", lambda c: c["label"].isNotNull()), lambda c: F.struct(F.lit(kind).alias("kind"), c["label"].alias("label"), *[c[n].alias(n) for n in NAMES]))
     every = [tagged(k) for k in KINDS]
     rows = annotated.select((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).cast("int").alias("held"), F.explode(F.concat(*every)).alias("c"))
-    counts = rows.groupBy("c.kind", "c.label", "held", *[f"c.{n}" for n in NAMES]).agg(F.count("*").alias("n"))
-    found = counts.orderBy(F.desc("n"), "kind", "label", "held", *NAMES).limit(MOST_TUPLES).collect()
+    found = rows.groupBy("c.kind", "c.label", "held", *[f"c.{n}" for n in NAMES]).agg(F.count("*").alias("n")).orderBy("kind", "label", "held", *NAMES).collect()
     return {k: boost([(tuple(r[n] for n in NAMES), r["label"], r["held"], r["n"]) for r in found if r["kind"] == k]) for k in KINDS}
 
 
 def selected(kind: str, trees: list, threshold: float) -> Column:
-    """Candidates that touch no base span and reach the threshold."""
+    """Unlabelled candidates that touch no base span and reach the threshold, without those that start inside one before."""
 
     def score(c: Column) -> Column:
         total = F.lit(0.0)
@@ -237,7 +278,11 @@ def selected(kind: str, trees: list, threshold: float) -> Column:
             total = total + tree_column(t, c) * RATE
         return total
 
-    return F.filter(f"wide_{kind}", lambda c: ~c["taken"] & (score(c) >= threshold))
+    found = F.filter(f"wide_{kind}", lambda c: ~c["taken"] & c["label"].isNull() & (score(c) >= threshold))
+    order = F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("last"))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    # in order of start, the longer first: a span stays if it starts after the end of all before it
+    return F.aggregate(order, none, lambda kept, c: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end"] > c["start"], F.lit(False)), kept).otherwise(F.concat(kept, F.array(F.struct(c["start"].alias("start"), (-c["last"]).alias("end"))))))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:

@@ -128,6 +128,30 @@ def test_pii_base_spans(docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_adds_spans_that_base_rules_miss(spark):
+    rng = np.random.default_rng(4)
+    lets = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    card = lambda: next(c for c in (f"4{rng.integers(10**14, 10**15)}" for _ in range(99)) if luhn(c))
+    rows, wanted, unwanted = [], [], []
+    for i in range(600):
+        n = rng.integers(100, 999)
+        mail, at = f"{lets(6)}@{lets(7)}.{lets(3)}", f"{lets(6)} (at) {lets(7)} (dot) {lets(3)}"
+        good = ["mail " + mail, f"call +1 212 {n} {rng.integers(1000, 9999)}", "card " + card(), f"host 10.{n % 250}.7.{n % 99}"]
+        bad = [f"order {rng.integers(10**15, 10**16)}x", f"version {n}.{n}.7.4", f"no {n}-{n}", f"item @ {lets(4)}"]
+        t = " and ".join([*rng.permutation(good)[:2], *rng.permutation(bad)[:2]])
+        if i % 10 == 0:
+            t += f" then mail {at}"
+            wanted.append((i, "email", len(t) - len(at), len(t)))
+        if i % 10 == 5:
+            t += (odd := f" version {n}.{n}.{n}.7")
+            unwanted.append((i, len(t) - len(odd), len(t)))
+        rows.append((i, t))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r["doc_id"], pii.KINDS[s["kind"]], s["start"], s["end"]) for r in found for s in r["spans"] if s not in r["base"]}
+    assert len(added & set(wanted)) >= 0.9 * len(wanted)
+    assert not any(i == j and s < b and e > a for i, _, s, e in added for j, a, b in unwanted)
+
+
 def test_langid(spark, docs, empty):
     rows = [(i, " ".join(np.random.default_rng(i).choice(["the", "and", "thing"] if i % 2 else ["der", "und", "schon"], 12)), "en" if i % 2 else "de") for i in range(80)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
