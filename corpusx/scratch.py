@@ -14,16 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
+    """The shared folder of the session. On a cluster it has to be configured; a temporary one is set only
+    where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-corpusx-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator run. ``drop`` removes those that the result no longer needs."""
+    """Tables of one operator run. ``drop`` removes those that the result no longer needs; the others,
+    which a lazy result may still read, go when the session's file systems are closed at its end."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
@@ -46,6 +50,9 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(key, before)
+        if self._n == 1:
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self._kept.append(out)
