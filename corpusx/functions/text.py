@@ -22,11 +22,25 @@ def tokenize(text: Column, profile: str = "words") -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """Positional n-grams, joined by a space; empty if there are fewer than n words."""
     if n <= 0:
-        raise ValueError("n must be positive")
+        raise ValueError(f"n-grams need n >= 1, got {n}")
     at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def window_hashes(words: Column, n: int) -> Column:
+    """64-bit hash of every run of n words of an array, in order; empty if there are fewer than n.
+
+    ``words`` must be a column of its own that holds the hash of each word (``word_hashes``), so that
+    it isn't computed anew for every window.
+    """
+    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
 def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Jaccard similarity of two arrays as sets; ``empty`` if both are empty."""
     union = F.size(F.array_union(a, b))

@@ -1,12 +1,35 @@
-"""Overlap, decontamination and repetition on shingle tables. Joins are on the shingle itself, so
-hot shingles are split by adaptive execution and none is dropped."""
+"""Overlap, decontamination and repetition on word n-grams.
+
+Documents are compared with a set of n-grams by hash first: the hashes of a document's windows are
+looked up where the document lies (the n-grams' hashes are broadcast while they are few), and only
+what is found is shuffled, and then compared word by word. Repetition inside one document is
+found in its row, by a fold over its sorted window hashes, without any shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusx.functions.text import ngrams, tokenize
+from corpusx.functions.text import ngrams, tokenize, window_hashes, word_hashes
+
+#: Rows that are broadcast (n-grams, or documents with a hit); beyond that both sides are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """A table with the hint that its size asks for."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
+
+
+def found_grams(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, toks, hits): documents with the places (pos, gram) at which they hold one of ``grams`` (gram)."""
+    wanted = grams.select("gram").distinct().select("gram", word_hashes(F.split("gram", " ")).alias("w")).select("gram", F.xxhash64("w").alias("h"))
+    t = docs.select(F.col(id_col).alias("id"), word_hashes(tokenize(F.col(text_col))).alias("w")).select("id", F.posexplode(window_hashes(F.col("w"), n)).alias("pos", "h"))
+    hits = t.join(sized(wanted), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
+    said = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).join(hits, "id")
+    same = F.filter("hits", lambda x: F.array_join(F.slice("toks", x["pos"] + 1, n), " ") == x["gram"])
+    return said.select("id", "toks", same.alias("hits"))
 
 
 def shingles(docs: DataFrame, id_col: str, text_col: str, n: int, distinct: bool = True) -> DataFrame:
@@ -26,22 +49,31 @@ def shingle_index(sources: DataFrame, id_col: str, text_col: str, n: int = 12, w
 
 def exact_overlap(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 12) -> DataFrame:
     """(id, gram, pos, sources): every index shingle in a document at its first position."""
-    return shingles(docs, id_col, text_col, n).join(index, "gram")
+    places = found_grams(docs, index, id_col, text_col, n).select("id", F.explode("hits").alias("x")).select("id", "x.*")
+    return places.groupBy("id", "gram").agg(F.min("pos").alias("pos")).join(index, "gram").select("id", "gram", "pos", "sources")
 
 
 def containment(docs: DataFrame, sources: DataFrame, ids: tuple[str, str], n: int = 8, threshold: float = 0.1) -> DataFrame:
     """(id, source_id, shared, ratio, flagged): shared distinct n-grams over the document's own."""
-    d, s = shingles(docs, ids[0], "text", n), shingles(sources, ids[1], "text", n)
-    own = d.groupBy("id").agg(F.count("*").alias("own"))
-    pairs = d.join(s.select(F.col("id").alias("source_id"), "gram"), "gram").groupBy("id", "source_id").agg(F.count("*").alias("shared"))
+    s = shingles(sources, ids[1], "text", n).select(F.col("id").alias("source_id"), "gram")
+    found = found_grams(docs, s, ids[0], "text", n).withColumn("w", word_hashes(F.col("toks")))
+    own = F.size(F.array_distinct(window_hashes(F.col("w"), n))).cast("long")
+    held = found.select("id", own.alias("own"), F.explode(F.array_distinct(F.transform("hits", lambda x: x["gram"]))).alias("gram"))
+    pairs = held.join(s, "gram").groupBy("id", "source_id", "own").agg(F.count("*").alias("shared"))
     ratio = F.col("shared") / F.col("own")
-    return pairs.join(own, "id").select("id", "source_id", "shared", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("flagged"))
+    return pairs.select("id", "source_id", "shared", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("flagged"))
 
 
 def prior_overlap(docs: DataFrame, id_col: str = "item_id", n: int = 16) -> DataFrame:
-    """(id, prior_id, shared): distinct n-grams shared with earlier candidates, by id order."""
-    g = shingles(docs, id_col, "text", n).select("id", "gram")
-    return g.join(g.withColumnRenamed("id", "prior_id"), "gram").where("prior_id < id").groupBy("id", "prior_id").agg(F.count("*").alias("shared"))
+    """(id, prior_id, shared): distinct n-grams, told apart by 64-bit hashes, shared with earlier candidates by id order.
+
+    n-grams of one document only are left out before the join; a pair is a row of the result as soon as it shares one.
+    """
+    t = docs.select(F.col(id_col).alias("id"), word_hashes(tokenize(F.col("text"))).alias("w"))
+    g = t.select("id", F.explode(F.array_distinct(window_hashes(F.col("w"), n))).alias("h"))
+    shared = g.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    g = g.join(shared, "h")
+    return g.join(g.withColumnRenamed("id", "prior_id"), "h").where("prior_id < id").groupBy("id", "prior_id").agg(F.count("*").alias("shared"))
 
 
 def verdict(matches: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -60,23 +92,51 @@ def worklist(flagged: DataFrame, done: DataFrame) -> DataFrame:
 def longest_common_span(docs: DataFrame, sources: DataFrame, ids: tuple[str, str], seed: int = 8) -> DataFrame:
     """(id, source_id, words): longest run of words in common, found from shared seed n-grams that
     lie next to each other on a diagonal."""
-    d, s = shingles(docs, ids[0], "text", seed, False), shingles(sources, ids[1], "text", seed, False)
-    hits = d.join(s.select(F.col("id").alias("source_id"), F.col("pos").alias("at"), "gram"), "gram")
+    s = shingles(sources, ids[1], "text", seed, False).select(F.col("id").alias("source_id"), F.col("pos").alias("at"), "gram")
+    hits = found_grams(docs, s, ids[0], "text", seed).select("id", F.explode("hits").alias("x")).select("id", "x.*").join(s, "gram")
     diagonal = hits.select("id", "source_id", "pos", (F.col("pos") - F.col("at")).alias("diag")).distinct()
     order = Window.partitionBy("id", "source_id", "diag").orderBy("pos")
     runs = diagonal.withColumn("island", F.col("pos") - F.row_number().over(order))
     return runs.groupBy("id", "source_id", "diag", "island").agg(F.count("*").alias("n")).groupBy("id", "source_id").agg((F.max("n") + seed - 1).alias("words"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50) -> DataFrame:
+def sorted_windows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, toks, places) of the documents of n words or more: window hashes with positions (from 1), sorted."""
+    t = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).where(F.size("toks") >= n)
+    t = t.withColumn("w", word_hashes(F.col("toks"))).withColumn("h", window_hashes(F.col("w"), n))
+    return t.select("id", "toks", F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p")))).alias("places"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, text_col: str = "text") -> DataFrame:
     """(id, n_repeats): windows of n words found again at least ``apart`` words after their first place."""
-    g = shingles(docs, id_col, "text", n, False)
-    first = g.groupBy("id", "gram").agg(F.min("pos").alias("first"), F.collect_list("pos").alias("all"))
-    again = F.size(F.filter("all", lambda p: p - F.col("first") >= apart))
-    return first.groupBy("id").agg(F.sum(again.cast("long")).alias("n_repeats"))
+    t = sorted_windows(docs, id_col, text_col, n)
+    none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        again = (x["p"] - a["first"] >= apart) & (F.slice("toks", x["p"], n) == F.slice("toks", a["first"], n))
+        return F.when(a["h"] == x["h"], F.struct(a["h"].alias("h"), a["first"].alias("first"), (a["n"] + again.cast("long")).alias("n"))).otherwise(F.struct(x["h"].alias("h"), x["p"].alias("first"), a["n"].alias("n")))
+
+    return t.select("id", F.aggregate("places", none, step, lambda a: a["n"]).alias("n_repeats"))
+
 
+def self_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, least_words: int = 40, text_col: str = "text", sep: str = "\n") -> DataFrame:
+    """(id, n_repeats, repeated_paragraphs, hard_fail): repeated windows, and paragraphs of ``least_words`` or more
+    (equal after tokenizing) beyond their first occurrence; either fails the document. Every document has a row."""
+    t = docs.select(F.col(id_col).alias("id"), F.transform(F.split(F.coalesce(text_col, F.lit("")), sep, -1), lambda p: F.concat_ws(" ", tokenize(p))).alias("paras"))
+    long = F.filter("paras", lambda p: (F.length(p) > 0) & (F.size(F.split(p, " ")) >= least_words))
+    paras = t.select("id", long.alias("long")).select("id", (F.size("long") - F.size(F.array_distinct("long"))).cast("long").alias("repeated_paragraphs"))
+    found = repeats(docs, id_col, n, apart, text_col).withColumnRenamed("id", "r")
+    n_repeats = F.coalesce("n_repeats", F.lit(0).cast("long"))
+    return paras.join(found, F.col("id") == F.col("r"), "left").select("id", n_repeats.alias("n_repeats"), "repeated_paragraphs", ((n_repeats > 0) | (F.col("repeated_paragraphs") > 0)).alias("hard_fail"))
 
-def max_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 4, loop: int = 5) -> DataFrame:
+
+def max_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 4, loop: int = 5, text_col: str = "text") -> DataFrame:
     """(id, top, is_loop): highest count of any n-gram of a document."""
-    g = shingles(docs, id_col, "text", n, False)
-    return g.groupBy("id", "gram").count().groupBy("id").agg(F.max("count").alias("top")).withColumn("is_loop", F.col("top") >= loop)
+    none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("top"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = F.when(a["h"] == x["h"], a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x["h"].alias("h"), now.alias("n"), F.greatest(a["top"], now).alias("top"))
+
+    top = F.aggregate("places", none, step, lambda a: a["top"])
+    return sorted_windows(docs, id_col, text_col, n).select("id", top.alias("top")).withColumn("is_loop", F.col("top") >= loop)

@@ -59,8 +59,9 @@ def overlap_verdict(spark, sf):
 
 @register(Q, f"SELECT DISTINCT id, source_id FROM {CONTAINED} c WHERE flagged AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.id)")
 def overlap_worklist(spark, sf):
-    done = table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct().join(contained(spark, sf).select("id", "source_id"), "id")
-    return O.worklist(contained(spark, sf), done)
+    """Flagged pairs of documents that nobody has labelled."""
+    flagged = contained(spark, sf).where("flagged").select("id", "source_id").distinct()
+    return flagged.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti")
 
 
 @register(Q, f"SELECT a.id, b.id AS prior_id, count(*) AS shared FROM {grams('documents', 'doc_id', 16)} a JOIN {grams('documents', 'doc_id', 16)} b ON a.gram = b.gram AND b.id < a.id GROUP BY ALL")
@@ -81,9 +82,13 @@ def repeat_sql(n: int, apart: int) -> str:
     return f"SELECT id, CAST(sum(CASE WHEN pos - first >= {apart} THEN 1 ELSE 0 END) AS BIGINT) AS n_repeats FROM (SELECT *, min(pos) OVER (PARTITION BY id, gram) AS first FROM {g}) GROUP BY id"
 
 
-@register(Q, repeat_sql(50, 50))
+LONG_PARAGRAPHS = f"""(SELECT doc_id, array_to_string({sql_tokens('p')}, ' ') AS said FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents) WHERE len({sql_tokens('p')}) >= 40)"""
+
+
+@register(Q, f"""SELECT d.doc_id AS id, coalesce(n_repeats, 0) AS n_repeats, coalesce(again, 0) AS repeated_paragraphs, coalesce(n_repeats, 0) > 0 OR coalesce(again, 0) > 0 AS hard_fail
+  FROM documents d LEFT JOIN ({repeat_sql(50, 50)}) r ON r.id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) - count(DISTINCT said) AS again FROM {LONG_PARAGRAPHS} GROUP BY doc_id) p ON p.doc_id = d.doc_id""")
 def self_repetition(spark, sf):
-    return O.repeats(table(spark, sf, "documents"))
+    return O.self_repetition(table(spark, sf, "documents"))
 
 
 @register(Q, repeat_sql(16, 33))
