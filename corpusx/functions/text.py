@@ -16,7 +16,11 @@ def tokenize(text: Column, profile: str = "words") -> Column:
     if profile in ("letters3", "keyword"):
         return F.regexp_extract_all(F.lower(t), F.lit(PROFILES[profile]), F.lit(0))
     found = F.regexp_extract_all(t, F.lit(PROFILES[profile]), F.lit(0))
-    return found if profile == "space" else F.transform(found, lambda x: F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("’"), F.lit("'")))
+    if profile == "space":
+        return found
+    # words hold no space, so all of them are folded as one string
+    folded = F.replace(F.replace(F.lower(F.array_join(found, " ")), F.lit("ß"), F.lit("ss")), F.lit("’"), F.lit("'"))
+    return F.array_remove(F.split(folded, " ", -1), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -101,33 +101,38 @@ def longest_common_span(docs: DataFrame, sources: DataFrame, ids: tuple[str, str
 
 
 def sorted_windows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, toks, places) of the documents of n words or more: window hashes with positions (from 1), sorted."""
-    t = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).where(F.size("toks") >= n)
+    """``docs`` with id, toks and places: window hashes with positions (from 1), sorted; none below n words."""
+    t = docs.withColumns({"id": F.col(id_col), "toks": tokenize(F.col(text_col))})
     t = t.withColumn("w", word_hashes(F.col("toks"))).withColumn("h", window_hashes(F.col("w"), n))
-    return t.select("id", "toks", F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p")))).alias("places"))
+    return t.withColumn("places", F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p")))))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, text_col: str = "text") -> DataFrame:
-    """(id, n_repeats): windows of n words found again at least ``apart`` words after their first place."""
-    t = sorted_windows(docs, id_col, text_col, n)
+def repeat_count(n: int, apart: int) -> Column:
+    """Of sorted windows: those found again at least ``apart`` words after their first place, word by word."""
     none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("n"))
 
     def step(a: Column, x: Column) -> Column:
         again = (x["p"] - a["first"] >= apart) & (F.slice("toks", x["p"], n) == F.slice("toks", a["first"], n))
         return F.when(a["h"] == x["h"], F.struct(a["h"].alias("h"), a["first"].alias("first"), (a["n"] + again.cast("long")).alias("n"))).otherwise(F.struct(x["h"].alias("h"), x["p"].alias("first"), a["n"].alias("n")))
 
-    return t.select("id", F.aggregate("places", none, step, lambda a: a["n"]).alias("n_repeats"))
+    return F.aggregate("places", none, step, lambda a: a["n"])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, text_col: str = "text") -> DataFrame:
+    """(id, n_repeats): windows of n words found again at least ``apart`` words after their first place."""
+    return sorted_windows(docs.select(id_col, text_col), id_col, text_col, n).where(F.size("toks") >= n).select("id", repeat_count(n, apart).alias("n_repeats"))
 
 
 def self_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, least_words: int = 40, text_col: str = "text", sep: str = "\n") -> DataFrame:
     """(id, n_repeats, repeated_paragraphs, hard_fail): repeated windows, and paragraphs of ``least_words`` or more
     (equal after tokenizing) beyond their first occurrence; either fails the document. Every document has a row."""
-    t = docs.select(F.col(id_col).alias("id"), F.transform(F.split(F.coalesce(text_col, F.lit("")), sep, -1), lambda p: F.concat_ws(" ", tokenize(p))).alias("paras"))
-    long = F.filter("paras", lambda p: (F.length(p) > 0) & (F.size(F.split(p, " ")) >= least_words))
-    paras = t.select("id", long.alias("long")).select("id", (F.size("long") - F.size(F.array_distinct("long"))).cast("long").alias("repeated_paragraphs"))
-    found = repeats(docs, id_col, n, apart, text_col).withColumnRenamed("id", "r")
-    n_repeats = F.coalesce("n_repeats", F.lit(0).cast("long"))
-    return paras.join(found, F.col("id") == F.col("r"), "left").select("id", n_repeats.alias("n_repeats"), "repeated_paragraphs", ((n_repeats > 0) | (F.col("repeated_paragraphs") > 0)).alias("hard_fail"))
+    t = sorted_windows(docs.select(id_col, text_col), id_col, text_col, n)
+    paras = F.transform(F.filter(F.split(F.col(text_col), sep, -1), lambda p: F.length(p) >= 2 * least_words - 1), lambda p: tokenize(p))
+    t = t.withColumn("paras", F.when(F.instr(text_col, sep) > 0, paras).otherwise(F.array().cast("array<array<string>>")))
+    t = t.withColumn("long", F.filter("paras", lambda p: F.size(p) >= least_words))
+    again = (F.size("long") - F.size(F.array_distinct("long"))).cast("long")
+    t = t.select("id", repeat_count(n, apart).alias("n_repeats"), F.coalesce(again, F.lit(0).cast("long")).alias("repeated_paragraphs"))
+    return t.withColumn("hard_fail", (F.col("n_repeats") > 0) | (F.col("repeated_paragraphs") > 0))
 
 
 def max_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 4, loop: int = 5, text_col: str = "text") -> DataFrame:
@@ -139,4 +144,4 @@ def max_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 4, loop: in
         return F.struct(x["h"].alias("h"), now.alias("n"), F.greatest(a["top"], now).alias("top"))
 
     top = F.aggregate("places", none, step, lambda a: a["top"])
-    return sorted_windows(docs, id_col, text_col, n).select("id", top.alias("top")).withColumn("is_loop", F.col("top") >= loop)
+    return sorted_windows(docs.select(id_col, text_col), id_col, text_col, n).where(F.size("toks") >= n).select("id", top.alias("top")).withColumn("is_loop", F.col("top") >= loop)
