@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusx.plans import campaign, evidence, judging, overlap_queries, provenance_queries, retrieval, reviews, shaping
+from corpusx.plans import campaign, evidence, judging, overlap_queries, provenance_queries, retrieval, reviews, sections, shaping
 
-MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign)
+MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign, sections)
 
 
 def flagship(spark, sf_dir):
