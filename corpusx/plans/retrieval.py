@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusx.functions.text import sql_tokens, tokenize
+from corpusx.operators import sections as S
+from corpusx.plans.sections import sql_features
 from corpusx.plans.tables import register, table
 
 Q: dict = {}
@@ -58,14 +60,26 @@ def facet_filter(spark, sf):
     return table(spark, sf, "documents").where("lang in ('en', 'de') and source <> 'src0'").join(bad, "doc_id", "left_anti").select("doc_id", "lang", "source")
 
 
-HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * round(score, 4) / (1 + round(score, 4)) + 0.20 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.07 * CASE WHEN n_chars BETWEEN 500 AND 6000 THEN 1 ELSE 0 END, 6) AS score FROM {BM25} JOIN documents USING (doc_id))"""
+#: The features of the passage that is asked for, on the scale of ``scene_features``' vector.
+DESIRED = (0.28, 0.022, 0.014, 0.010, 0.8, 0.6, 0.55)
+VECTOR = "[dialogue_ratio, agency, conflict, interiority, channels / 5, least(sentence_mean / 30, 1.0), least(sentence_deviation / 20, 1.0)]"
+WANTED = f"[{', '.join(f'CAST({x} AS DOUBLE)' for x in DESIRED)}]"
+HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 4) + 0.20 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.27 * geometry + 0.07 * greatest(0, 1 - abs(words - 750) / 850), 4) AS score FROM (
+  SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {BM25} WINDOW w AS (PARTITION BY query_id)) JOIN documents USING (doc_id) JOIN (
+  SELECT doc_id, words, round(CASE WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 0 ELSE list_inner_product(v, {WANTED}) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product({WANTED}, {WANTED}))) END, 4) AS geometry
+  FROM (SELECT doc_id, words, list_transform({VECTOR}, lambda x: CAST(x AS DOUBLE)) AS v FROM {sql_features()})) USING (doc_id))"""
 
 
 def hybrid(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    s = F.round("score", 4)
-    total = 0.28 * s / (1 + s) + 0.20 * (F.col("lang") == "en").cast("int") + 0.07 * F.col("n_chars").between(500, 6000).cast("int")
-    return ranked(spark, sf).join(d, "doc_id").select("query_id", "doc_id", F.round(total, 6).alias("score"))
+    """0.28 lexical + 0.20 facet + 0.27 geometry (cosine of a document's features and the desired ones) + 0.07 size."""
+    d = table(spark, sf, "documents")
+    made = S.scene_features(d, "doc_id", "text").select(F.col("id").alias("doc_id"), "words", F.round(S.cosine(F.col("vector"), F.array(*map(F.lit, DESIRED))), 4).alias("geometry"))
+    s = ranked(spark, sf)
+    ends = s.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    lexical = F.round(F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 4)
+    total = 0.28 * lexical + 0.20 * (F.col("lang") == "en").cast("int") + 0.27 * F.col("geometry") + 0.07 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("words") - 750) / 850)
+    j = s.join(ends, "query_id").join(d.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id").join(made, "doc_id")
+    return j.select("query_id", "doc_id", F.round(total, 4).alias("score"))
 
 
 @register(Q, f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {HYBRID}) WHERE rank <= 10")
