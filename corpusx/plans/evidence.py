@@ -155,14 +155,23 @@ def prefix_preserved(spark, sf):
     return g.select("conv_id", F.startswith(whole, F.col("t")[0]["text"]).alias("preserved"), F.sha2(F.col("t")[0]["text"], 256).alias("prefix_hash"))
 
 
-@register(Q, "SELECT item_id, d.doc_id, strpos(d.text, substr(b.text, 1, 40)) > 0 AS verbatim FROM benchmark b JOIN (SELECT DISTINCT id, source_id FROM " + CONTAINED + ") c ON c.source_id = b.item_id JOIN documents d ON d.doc_id = c.id")
+SAID = sql_tokens("q").replace("lambda x:", "lambda y:").replace("lower(x)", "lower(y)")
+
+
+@register(Q, f"""SELECT item_id, doc_id, CAST(len(qs) AS INTEGER) AS sentences, CAST(len(list_filter(qs, lambda q: strpos(text, q) > 0)) AS INTEGER) AS verbatim,
+  CAST(len(list_filter(qs, lambda q: strpos(text, q) > 0 OR (len({SAID}) >= 4 AND strpos(said, ' ' || array_to_string({SAID}, ' ') || ' ') > 0))) AS INTEGER) AS supported FROM (
+  SELECT b.item_id, d.doc_id, d.text, ' ' || array_to_string({sql_tokens("d.text")}, ' ') || ' ' AS said, list_filter(string_split_regex(b.text, '[.!?]+\\s*'), lambda q: length(q) > 0) AS qs
+  FROM benchmark b JOIN (SELECT DISTINCT id, source_id FROM {CONTAINED}) c ON c.source_id = b.item_id JOIN documents d ON d.doc_id = c.id)""")
 def quote_support(spark, sf):
-    """Whether the opening of a passage stands verbatim in a document that shares its 8-grams."""
+    """Of all sentences of a passage: how many stand verbatim in a document that shares its 8-grams, and how many do
+    so verbatim or, if they have four words or more, in normalised words."""
     c = contained(spark, sf).select("id", "source_id").distinct()
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    b = table(spark, sf, "benchmark").select("item_id", F.filter(F.split("text", r"[.!?]+\s*", -1), lambda q: F.length(q) > 0).alias("qs"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit(" "), F.array_join(tokenize(F.col("text")), " "), F.lit(" ")).alias("said"))
     j = c.join(b, F.col("source_id") == F.col("item_id")).join(d, F.col("doc_id") == F.col("id"))
-    return j.select("item_id", "doc_id", F.contains("text", "quote").alias("verbatim"))
+    j = j.select("item_id", "doc_id", F.transform("qs", lambda q: F.struct(F.contains("text", q).alias("v"), tokenize(q).alias("t"))).alias("x"), "said")
+    near = lambda x: (F.size(x["t"]) >= 4) & F.contains(F.col("said"), F.concat(F.lit(" "), F.array_join(x["t"], " "), F.lit(" ")))
+    return j.select("item_id", "doc_id", F.size("x").alias("sentences"), F.size(F.filter("x", lambda x: x["v"])).alias("verbatim"), F.size(F.filter("x", lambda x: x["v"] | near(x))).alias("supported"))
 
 
 @register(Q, """SELECT source, lang, count(*) AS n, md5(CAST(sum(CAST('0x' || substr(md5(concat_ws(':', doc_id, coalesce(text, ''))), 1, 12) AS BIGINT)) AS VARCHAR)) AS seal FROM documents GROUP BY source, lang""")

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusx.functions.text import sql_uniform, uniform
+from corpusx.operators import diversity as D
 from corpusx.plans.tables import register, table
 
 Q: dict = {}
@@ -18,13 +19,24 @@ def votes(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part")).agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
 
 
-@register(Q, f"SELECT supp, round(sum(CASE WHEN qty > mid THEN 1.0 WHEN qty = mid THEN 0.5 ELSE 0.0 END), 2) AS points, count(*) AS duels FROM {VOTES} v JOIN (SELECT part, avg(qty) AS mid FROM {VOTES} GROUP BY part) USING (part) GROUP BY supp")
+JUDGED = """(SELECT x.l_suppkey AS a, y.l_suppkey AS b, x.l_quantity AS qa, y.l_quantity AS qb, x.l_extendedprice AS pa, y.l_extendedprice AS pb
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_suppkey <> y.l_suppkey)"""
+JUDGMENTS = f"""(SELECT a, b, CASE WHEN qa > qb THEN a WHEN qb > qa THEN b END AS winner FROM {JUDGED} UNION ALL SELECT b, a, CASE WHEN pa > pb THEN a WHEN pb > pa THEN b END FROM {JUDGED})"""
+
+
+@register(Q, f"""WITH j AS {JUDGMENTS}, s AS (SELECT a AS id, winner FROM j UNION ALL SELECT b, winner FROM j),
+  t AS (SELECT least(a, b) AS x, greatest(a, b) AS y FROM j GROUP BY ALL HAVING count(DISTINCT coalesce(winner, -1)) > 1), d AS (SELECT id, count(*) AS d FROM (SELECT x AS id FROM t UNION ALL SELECT y FROM t) GROUP BY id)
+  SELECT s.id AS supp, sum(CASE WHEN winner IS NULL THEN 0.5 WHEN winner = s.id THEN 1.0 ELSE 0.0 END)::DOUBLE AS points, count(*) AS duels, coalesce(any_value(d.d), 0) AS disagreements FROM s LEFT JOIN d ON d.id = s.id GROUP BY s.id""")
 def pairwise_points(spark, sf):
-    """Wins, ties and losses of each supplier against the mean quantity of the part."""
-    v = votes(spark, sf)
-    mid = v.groupBy("part").agg(F.avg("qty").alias("mid"))
-    p = F.when(F.col("qty") > F.col("mid"), 1.0).when(F.col("qty") == F.col("mid"), 0.5).otherwise(0.0)
-    return v.join(mid, "part").groupBy("supp").agg(F.round(F.sum(p), 2).alias("points"), F.count("*").alias("duels"))
+    """Suppliers of neighbouring lines of an order are compared twice: by quantity, and the other way round by price."""
+    li = table(spark, sf, "lineitem")
+    cols = ("l_suppkey", "l_quantity", "l_extendedprice")
+    x = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    j = x.join(li.select("l_orderkey", "l_linenumber", *cols), ["l_orderkey", "l_linenumber"]).where("x_l_suppkey <> l_suppkey")
+    side = lambda c: F.when(F.col(f"x_{c}") > F.col(c), F.col("x_l_suppkey")).when(F.col(f"x_{c}") < F.col(c), F.col("l_suppkey"))
+    first = j.select(F.col("x_l_suppkey").alias("a"), F.col("l_suppkey").alias("b"), side("l_quantity").alias("winner"))
+    second = j.select(F.col("l_suppkey").alias("a"), F.col("x_l_suppkey").alias("b"), side("l_extendedprice").alias("winner"))
+    return D.pairwise_points(first.unionByName(second)).withColumnRenamed("id", "supp")
 
 
 @register(Q, """SELECT c_mktsegment, c_custkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal > 0 DESC, total DESC, c_custkey) AS rank FROM (
@@ -70,9 +82,15 @@ def round_decision(spark, sf):
 @register(Q, """SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS sources, count(*) AS n, element_at_mid AS upper_median FROM lineitem JOIN (
   SELECT l_partkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS element_at_mid FROM lineitem GROUP BY l_partkey) USING (l_partkey) GROUP BY l_partkey, element_at_mid""")
 def recipe_traces(spark, sf):
-    """Upper medians and source sets per part."""
-    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"), F.array_sort(F.collect_list("l_quantity")).alias("q"))
-    return g.select("l_partkey", F.array_join("s", ",").alias("sources"), F.size("q").cast("long").alias("n"), F.element_at("q", F.floor(F.size("q") / 2).cast("int") + 1).alias("upper_median"))
+    """Upper medians and source sets per part. Quantities are counted before they are put in order, so a part of
+    many lines is as many rows as it has quantities."""
+    li = table(spark, sf, "lineitem")
+    counts = li.groupBy("l_partkey", "l_quantity").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("l_partkey").orderBy("l_quantity")
+    total = F.sum("c").over(Window.partitionBy("l_partkey"))
+    mid = counts.withColumns({"upto": F.sum("c").over(w), "n": total}).where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("l_partkey").agg(F.min("l_quantity").alias("upper_median"), F.max("n").alias("n"))
+    s = li.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_suppkey")), ",").alias("sources"))
+    return mid.join(s, "l_partkey").select("l_partkey", "sources", "n", "upper_median")
 
 
 @register(Q, """SELECT o_custkey, accepted, n FROM (SELECT o_custkey, count(*) AS n, bool_and(ok) AS accepted FROM (
@@ -107,10 +125,15 @@ def boltzmann_select(spark, sf):
 
 @register(Q, f"SELECT doc_id, source, CASE WHEN n = c THEN 'holdout' WHEN n = c - 1 AND c > 3 THEN 'calibration' ELSE 'profiling' END AS part FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {sql_uniform(9, 'doc_id')}, doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents)")
 def partition_plan(spark, sf):
-    w = Window.partitionBy("source")
-    d = table(spark, sf, "documents").select("doc_id", "source", F.row_number().over(w.orderBy(uniform(9, F.col("doc_id")), "doc_id")).alias("n"), F.count("*").over(w).alias("c"))
-    part = F.when(F.col("n") == F.col("c"), "holdout").when((F.col("n") == F.col("c") - 1) & (F.col("c") > 3), "calibration").otherwise("profiling")
-    return d.select("doc_id", "source", part.alias("part"))
+    """Of each source the document with the last draw is held out, of four or more the one before calibrates. The
+    two last draws come from aggregates that combine before the shuffle, so a large source isn't one task."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.struct(uniform(9, F.col("doc_id")).alias("u"), F.col("doc_id").alias("i")).alias("k"))
+    key = F.coalesce("source", F.lit("\x00"))
+    last = d.groupBy(key.alias("s")).agg(F.max("k").alias("last"), F.count("*").alias("c"))
+    before = d.join(F.broadcast(last), key == F.col("s")).where(F.col("k") < F.col("last")).groupBy(F.col("s").alias("t")).agg(F.max("k").alias("second"))
+    ends = last.join(before, F.col("s") == F.col("t"), "left")
+    part = F.when(F.col("k") == F.col("last"), "holdout").when((F.col("c") > 3) & (F.col("k") == F.col("second")), "calibration").otherwise("profiling")
+    return d.join(ends, key == F.col("s")).select("doc_id", "source", part.alias("part"))
 
 
 @register(Q, "SELECT r_name, mode, seed, count(*) OVER () AS arms FROM region, (SELECT DISTINCT l_returnflag AS mode FROM lineitem), (SELECT unnest([1, 2, 3]) AS seed)")

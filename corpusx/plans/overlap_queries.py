@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusx.functions.text import jaccard, ngrams, sql_ngrams, sql_tokens, tokenize
+from corpusx.functions.text import sql_ngrams, sql_tokens
+from corpusx.operators import diversity as D
 from corpusx.operators import overlap as O
 from corpusx.plans.tables import register, table
 
@@ -109,55 +110,60 @@ def duplicate_views(spark, sf):
     return table(spark, sf, "events").withColumn("first", F.first("event_id").over(w)).where("event_id <> first").select("user_id", "event_type", "event_id")
 
 
-def item_sets(spark, sf, sizes=(1, 3, 5)):
-    t = table(spark, sf, "benchmark").select("item_id", tokenize(F.col("text")).alias("toks"))
-    return t.select("item_id", (F.col("item_id") % 8).alias("grp"), *[F.array_distinct(ngrams(F.col("toks"), n)).alias(f"g{n}") for n in sizes], F.array_distinct(ngrams(F.slice("toks", 1, 120), 3)).alias("head"))
+def sql_jaccard(a: str, b: str, empty: str = "1.0") -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN {empty} ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 
 
-ITEMS = f"""(SELECT item_id, item_id % 8 AS grp, {', '.join(f"CASE WHEN len(toks) >= {n} THEN list_distinct({sql_ngrams('toks', n)}) ELSE [] END AS g{n}" for n in (1, 3, 5))} FROM (SELECT item_id, {sql_tokens()} AS toks FROM benchmark))"""
+def sql_set(toks: str, n: int) -> str:
+    return f"CASE WHEN len({toks}) >= {n} THEN list_distinct({sql_ngrams(toks, n)}) ELSE [] END"
 
 
-def sql_jaccard(a: str, b: str, empty: str = "1.0") -> str:
-    return f"CASE WHEN len({a}) + len({b}) = 0 THEN {empty} ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+ITEMS = f"(SELECT conv_id AS grp, turn AS id, role, toks, {', '.join(f'{sql_set("toks", n)} AS g{n}' for n in D.SIZES)}, {sql_set('head', 3)} AS opening FROM (SELECT *, toks[1:120] AS head FROM (SELECT conv_id, turn, role, {sql_tokens()} AS toks FROM conversations)))"
+PAIRS = f"(SELECT *, (j3 + j5) / 2 AS proxy FROM (SELECT a.grp, a.id AS id_a, b.id AS id_b, a.role AS role_a, b.role AS role_b, {', '.join(f'{sql_jaccard(f"a.g{n}", f"b.g{n}")} AS j{n}' for n in D.SIZES)}, {sql_jaccard('a.opening', 'b.opening')} AS opening FROM {ITEMS} a JOIN {ITEMS} b ON a.grp = b.grp AND a.id < b.id))"
 
 
-PAIRS = f"""(SELECT a.grp, a.item_id AS id_a, b.item_id AS id_b, {', '.join(f"{sql_jaccard(f'a.g{n}', f'b.g{n}')} AS j{n}" for n in (1, 3, 5))} FROM {ITEMS} a JOIN {ITEMS} b ON a.grp = b.grp AND a.item_id < b.item_id)"""
+def item_sets(spark, sf):
+    """The turns of a conversation are a group of items."""
+    t = table(spark, sf, "conversations")
+    return D.item_sets(t, "conv_id", "turn", "text"), t.select(F.col("conv_id").alias("grp"), F.col("turn").alias("id"), "role")
 
 
 def diversity_pairs(spark, sf):
-    a = item_sets(spark, sf)
-    b = a.select(F.col("grp").alias("grp_b"), F.col("item_id").alias("id_b"), *[F.col(f"g{n}").alias(f"h{n}") for n in (1, 3, 5)])
-    p = a.join(b, (F.col("grp") == F.col("grp_b")) & (F.col("item_id") < F.col("id_b")))
-    return p.select("grp", F.col("item_id").alias("id_a"), "id_b", *[jaccard(F.col(f"g{n}"), F.col(f"h{n}")).alias(f"j{n}") for n in (1, 3, 5)])
+    sets, roles = item_sets(spark, sf)
+    return D.ngram_pairs(sets.join(roles, ["grp", "id"]), ("role",))
 
 
-@register(Q, f"SELECT grp, id_a, id_b, round(j1, 6) AS j1, round(j3, 6) AS j3, round(j5, 6) AS j5, round((j3 + j5) / 2, 6) AS self_bleu_proxy FROM {PAIRS}")
+@register(Q, f"SELECT grp, id_a, id_b, round(j1, 6) AS j1, round(j3, 6) AS j3, round(j5, 6) AS j5, round(opening, 6) AS opening, round(proxy, 6) AS self_bleu_proxy FROM {PAIRS}")
 def ngram_diversity_pairs(spark, sf):
-    """All pairs within a group of bounded size."""
-    return diversity_pairs(spark, sf).select("grp", "id_a", "id_b", *[F.round(f"j{n}", 6).alias(f"j{n}") for n in (1, 3, 5)], F.round((F.col("j3") + F.col("j5")) / 2, 6).alias("self_bleu_proxy"))
+    return diversity_pairs(spark, sf).select("grp", "id_a", "id_b", *[F.round(c, 6).alias(c) for c in ("j1", "j3", "j5", "opening")], F.round("proxy", 6).alias("self_bleu_proxy"))
 
 
-@register(Q, f"SELECT id, round(avg(j3), 6) AS mean_similarity, round(1 - avg(j3), 6) AS contribution FROM (SELECT id_a AS id, j3 FROM {PAIRS} UNION ALL SELECT id_b, j3 FROM {PAIRS}) GROUP BY id")
+@register(Q, f"""SELECT i.grp, i.id, round(coalesce(m, 0.0), 6) AS mean_similarity, round(1 - coalesce(m, 0.0), 6) AS contribution FROM {ITEMS} i LEFT JOIN (
+  SELECT grp, id, avg(proxy) AS m FROM (SELECT grp, id_a AS id, proxy FROM {PAIRS} UNION ALL SELECT grp, id_b, proxy FROM {PAIRS}) GROUP BY ALL) p ON p.grp = i.grp AND p.id = i.id""")
 def diversity_summary(spark, sf):
-    p = diversity_pairs(spark, sf)
-    both = p.select(F.explode(F.array("id_a", "id_b")).alias("id"), "j3")
-    return both.groupBy("id").agg(F.round(F.avg("j3"), 6).alias("mean_similarity"), F.round(1 - F.avg("j3"), 6).alias("contribution"))
+    return D.diversity_summary(item_sets(spark, sf)[0], diversity_pairs(spark, sf))
 
 
-@register(Q, f"SELECT grp, count(*) AS n_pairs, round(avg(1 - j1), 6) AS mean_distance FROM {PAIRS} GROUP BY grp")
+@register(Q, f"SELECT grp, count(*) AS n_pairs, round(avg(CASE WHEN role_a IS NOT DISTINCT FROM role_b THEN 1 - j1 END), 6) AS within, round(avg(CASE WHEN role_a IS DISTINCT FROM role_b THEN 1 - j1 END), 6) AS across FROM {PAIRS} GROUP BY grp")
 def group_distance(spark, sf):
-    return diversity_pairs(spark, sf).groupBy("grp").agg(F.count("*").alias("n_pairs"), F.round(F.avg(1 - F.col("j1")), 6).alias("mean_distance"))
+    """Turns of the same role and of different ones."""
+    return D.group_distance(diversity_pairs(spark, sf), "role")
+
+
+GRAMS3 = grams("benchmark", "item_id", 3)
 
 
-@register(Q, f"SELECT i.item_id, round(1 - coalesce(max(j1), 0.0), 6) AS novelty FROM benchmark i LEFT JOIN {PAIRS} p ON p.id_b = i.item_id GROUP BY i.item_id")
+@register(Q, f"""SELECT item_id, round(1 - coalesce(max(c / (a.n + b.n - c)), 0.0), 6) AS novelty FROM benchmark LEFT JOIN (
+  SELECT a.id, b.id AS prior, count(*) AS c FROM {GRAMS3} a JOIN {GRAMS3} b ON a.gram = b.gram AND b.id < a.id GROUP BY ALL) p ON p.id = item_id
+  LEFT JOIN (SELECT id, count(*) AS n FROM {GRAMS3} GROUP BY id) a ON a.id = p.id LEFT JOIN (SELECT id, count(*) AS n FROM {GRAMS3} GROUP BY id) b ON b.id = p.prior GROUP BY item_id""")
 def novelty_vs_prior(spark, sf):
-    best = diversity_pairs(spark, sf).groupBy("id_b").agg(F.max("j1").alias("j"))
-    return table(spark, sf, "benchmark").join(best, F.col("item_id") == F.col("id_b"), "left").select("item_id", F.round(1 - F.coalesce("j", F.lit(0.0)), 6).alias("novelty"))
+    return D.novelty_vs_prior(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
 
 
-@register(Q, f"SELECT grp, round(max(j3), 6) AS top, max(j3) < 0.85 AS useful FROM {PAIRS} GROUP BY grp")
+@register(Q, f"""SELECT i.grp, items, unique_texts, round(coalesce(j, 0.0), 6) AS top, coalesce(j, 0.0) < 0.85 AS useful FROM (
+  SELECT grp, count(*) AS items, count(DISTINCT array_to_string(toks, ' ')) AS unique_texts FROM {ITEMS} GROUP BY grp) i LEFT JOIN (SELECT grp, max(j4) AS j FROM {PAIRS} GROUP BY grp) p ON p.grp = i.grp""")
 def max_group_similarity(spark, sf):
-    return diversity_pairs(spark, sf).groupBy("grp").agg(F.round(F.max("j3"), 6).alias("top"), (F.max("j3") < 0.85).alias("useful"))
+    return D.max_group_similarity(item_sets(spark, sf)[0], diversity_pairs(spark, sf))
 
 
 @register(Q, """WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
