@@ -25,11 +25,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by their bytes, unless they are bounded closer: a batch of long
+    texts is held several times over on both sides. It changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in spark.conf.get(key, "") if c.isdigit())
+    if not digits or int(digits) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one operator run. ``drop`` removes those that the result no longer needs; the others,
     which a lazy result may still read, go when the session's file systems are closed at its end."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        small_batches(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/corpusx-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
