@@ -33,7 +33,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by their bytes, unless they are bounded closer: a batch of long
     texts is held several times over on both sides. It changes no result."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = "".join(c for c in spark.conf.get(key, "") if c.isdigit())
+    digits = "".join(c for c in spark.conf.get(key) if c.isdigit())
     if not digits or int(digits) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
