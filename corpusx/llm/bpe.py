@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusx.scratch import small_batches
+
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 150_000
@@ -171,6 +173,7 @@ def codec(path: str) -> Codec:
 def add_column(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], fn) -> DataFrame:
     """``df`` with columns that ``fn`` makes from the values of ``text_col``, batch by batch, in place of
     columns of their names."""
+    small_batches(df.sparkSession)
     df = df.drop(*[n for n, _, _ in fields if n != text_col])
     names = df.columns
     at = names.index(text_col)

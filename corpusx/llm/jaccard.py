@@ -40,7 +40,7 @@ from corpusx.scratch import Scratch, partitions
 PART = 2048
 #: Bounds of a worker's memory: sets it remembers as indexed, keys it holds before it passes them on,
 #: keys it sorts at once. None changes the result.
-MOST_SEEN, MOST_HELD, MOST_SORTED = 500_000, 500_000, 200_000
+MOST_SEEN, MOST_HELD, MOST_SORTED = 100_000, 500_000, 200_000
 
 
 class Bands:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.llm.kernels import LETTER, ONE, Words, chunks, mix, powers, separators
-from corpusx.scratch import Scratch
+from corpusx.scratch import Scratch, small_batches
 
 #: Anything in ASCII that isn't a letter.
 NOT_LETTER = separators(bytes(b for b in range(128) if not chr(b).isalpha()))
@@ -282,6 +282,7 @@ def train(docs: DataFrame, vocabulary: str, rows_per_lang: int = 1500, rounds: i
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, the probability of that language given the text."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = docs.withColumn("__lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.llm.kernels import LOWER, chunks
+from corpusx.scratch import small_batches
 
 TRUE: tuple = ("all",)
 
@@ -198,6 +199,7 @@ def verify(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int]]
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``spans``, an array of (kind, start, end) by start, then by the rules' order."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     id_type = given.schema[0].dataType.simpleString()
     queries = [trigram_query(r.pattern, r.any_case) for r in rules]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.llm.bpe import MEMO_LENGTH, PRETOKEN
+from corpusx.scratch import small_batches
 
 MEMO = 200_000
 BLOCK_BYTES = 4 << 20
@@ -93,6 +94,7 @@ def count_block(texts: list[str], path: str) -> np.ndarray:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     id_type = given.schema[0].dataType.simpleString()
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.llm.kernels import NOT_WORD, Words, chunks
+from corpusx.scratch import small_batches
 
 PREFIXES = (4, 5, 6)
 SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``, the probability that the text is toxic, in place of a column of that name."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index(text_col), docs.columns
