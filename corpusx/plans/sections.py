@@ -63,7 +63,7 @@ def sql_features(docs: str = "documents") -> str:
         {', '.join(f"len(regexp_extract_all(coalesce(text, ''), '{esc(p)}')) AS n_{n}" for n, p in dense)}, CAST({' + '.join(f"CAST(regexp_matches(coalesce(text, ''), '{esc(p)}') AS INT)" for p in senses)} AS INT) AS channels FROM {docs}))"""
 
 
-@register(Q, f"SELECT doc_id, CAST(words AS BIGINT) AS words, dialogue_ratio, agency, conflict, interiority, channels, sentence_mean, round(sentence_deviation, 4) AS sentence_deviation FROM {sql_features()}")
+@register(Q, f"SELECT doc_id, CAST(words AS BIGINT) AS words, dialogue_ratio, agency, conflict, interiority, channels, sentence_mean, sentence_deviation FROM {sql_features()}")
 def scene_features(spark, sf):
     f = S.scene_features(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
-    return f.select("doc_id", F.col("words").cast("long").alias("words"), "dialogue_ratio", "agency", "conflict", "interiority", "channels", "sentence_mean", F.round("sentence_deviation", 4).alias("sentence_deviation"))
+    return f.select("doc_id", F.col("words").cast("long").alias("words"), "dialogue_ratio", "agency", "conflict", "interiority", "channels", "sentence_mean", "sentence_deviation")
