@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusx.plans import campaign, evidence, judging, overlap_queries, provenance_queries, retrieval, reviews, sections, selection, shaping
+from corpusx.plans import campaign, evidence, judging, overlap_queries, provenance_queries, records, retrieval, reviews, sections, selection, shaping
 
-MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign, sections, selection)
+MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign, sections, selection, records)
 
 
 def flagship(spark, sf_dir):
