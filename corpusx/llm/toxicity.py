@@ -9,8 +9,8 @@ reads every document whole and broadcasts the model, whose size ``max_terms`` bo
 
 Defined cases: a null or empty text has no terms and scores the intercept; a document without label
 is scored and not learned from; a doc_id with several labels counts as toxic if one says so; without
-labels of both classes every score is the share of toxic rows (0 without rows); rows that repeat
-give repeated results.
+labels of both classes, or terms that enough rows share, every score is the share of toxic rows (0 without
+rows); rows that repeat give repeated results.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, terms: np.ndarray, factors: i
     term = np.concatenate(at) if at else np.zeros(0, np.int64)
     y, n, m = toxic.astype(float), len(bags), len(terms)
     model = Model(terms, 0.0, np.zeros(m), rng.normal(0, 0.02, (m, factors)))
-    if not n or y.min() == y.max():
+    if not n or not m or y.min() == y.max():
         p = float(y.mean()) if n else 0.0
         return Model(np.zeros(0, np.uint64), float(np.log((p + 1e-9) / (1 - p + 1e-9))), np.zeros(0), np.zeros((0, factors)))
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))

@@ -278,3 +278,62 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert at.count() > 0
     texts = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in spark.read.parquet(f"{tmp_path}/1").collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_toxicity_scores_pairs_beyond_their_terms():
+    rng = np.random.default_rng(5)
+    m, f = 6, 3
+    model = toxicity.Model(np.sort(rng.integers(1, 2**62, m).astype(np.uint64)), -0.3, rng.normal(size=m), rng.normal(size=(m, f)))
+    bags = [sorted(rng.choice(m, n, replace=False)) for n in (0, 1, 2, 4, 6)]
+    got = model.score(np.repeat(np.arange(5), [len(b) for b in bags]), np.concatenate(bags).astype(int), 5)
+    for b, s in zip(bags, got, strict=True):
+        z = model.bias + sum(model.weight[i] for i in b) + sum(model.factors[i] @ model.factors[j] for i in b for j in b if i < j)
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+    # the label is that exactly one of two terms occurs: no linear weights fit it, a pair does
+    terms = np.array([10, 20, 30], np.uint64)
+    bags = [terms[[0]], terms[[1]], terms[[0, 1]], terms[[2]]] * 60
+    fitted = toxicity.fit(bags, np.array([1, 1, 0, 0] * 60), terms, epochs=400)
+    numbers = [np.searchsorted(fitted.terms, b) for b in bags[:4]]
+    score = fitted.score(np.repeat(np.arange(4), [len(b) for b in numbers]), np.concatenate(numbers), 4)
+    assert score[0] > 0.7 and score[1] > 0.7 and score[2] < 0.3
+
+
+def test_clashing_columns_are_replaced(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = docs.selectExpr("*", "1 as ids", "2 as lang_pred", "3 as toxic")
+    model = toxicity.Model(np.zeros(0, np.uint64), 0.0, np.zeros(0), np.zeros((0, 1)))
+    assert {r["score"] for r in toxicity.score(d, model).collect()} == {0.5}
+    assert bpe.bpe_encode(d, path).schema["ids"].dataType.simpleString() == "binary" and bpe.bpe_encode(d, path).count() == d.count()
+    none = langid.Model("none", [], np.zeros(0, np.uint64), 1, np.zeros((1, 0)))
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(d, none).collect()} == {("und", 0.0)}
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(1, 60)), f"s{i % 5}") for i in range(3000)]
+    per, _ = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in per.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum(F.col("size") * F.col("size")).alias("q"), F.first("source_size").alias("n")).collect():
+        f = r["target"] / r["n"] % 1
+        assert abs(r["taken"] - r["target"]) <= 4 * (r["q"] * f * (1 - f)) ** 0.5 + 1e-6
+
+
+def test_queries_keep_to_the_contract(spark, tmp_path):
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    import zlib
+
+    held = lambda i, m, r: zlib.crc32(str(i).encode()) % m == r
+    for r in toxicity.op4_toxicity(spark, str(tmp_path)).collect():
+        assert r["held_out"] == held(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    for r in langid.op6_langid(spark, str(tmp_path)).collect():
+        assert r["held_out"] == held(r["doc_id"], 4, 2) and r["lang_pred"] in ("en", "und")
+    for r in tokens.op7_token_counts(spark, str(tmp_path)).collect():
+        assert r["over_limit"] == (r["n_tokens"] > 1024)
+    for r in secrets.op9_secrets(spark, str(tmp_path)).collect():
+        base, digest = secrets.brute_force(TEXTS[r["doc_id"]])
+        assert r["base_sha256"] == digest and [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r["spans"].split(","))
+    for r in pii.op5_pii(spark, str(tmp_path)).collect():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert sum(r[f"n_{k}"] for k in pii.KINDS) <= len(spans) and spans == sorted(spans, key=lambda x: (int(x[1]), pii.KINDS.index(x[0])))
