@@ -5,7 +5,7 @@ against a whole table goes by an inverted index of n-grams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusx.functions.text import jaccard, ngrams, tokenize, window_hashes, word_hashes
@@ -76,3 +76,18 @@ def pairwise_points(judgments: DataFrame) -> DataFrame:
     pair = j.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct(F.col("winner").isNull(), "winner")).alias("lo"), F.max(F.struct(F.col("winner").isNull(), "winner")).alias("hi"))
     torn = pair.where(F.col("lo") != F.col("hi")).select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     return points.join(torn, "id", "left").select("id", "points", "duels", F.coalesce("d", F.lit(0).cast("long")).alias("disagreements"))
+
+
+def numbered(rows: DataFrame, group: str, draw: str, tie: str, pieces: int = 256) -> DataFrame:
+    """``rows`` with ``place``, the place from 1 on within the group by ``draw`` (uniform in 0 to 1), then ``tie``.
+
+    A group is cut into ``pieces`` equal ranges of the draw: rows are numbered within a piece, after those of the pieces
+    before, which are counted. So a large group is sorted in many tasks. A null draw comes first, a null group is a group.
+    """
+    cut = rows.withColumn("__piece", F.when(F.col(draw).isNull(), -1).otherwise(F.least(F.floor(F.col(draw) * pieces), F.lit(pieces - 1)).cast("int")))
+    counts = cut.groupBy(F.col(group).alias("__group"), F.col("__piece").alias("__at")).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__group", "__at", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__piece").orderBy(draw, tie))
+    j = cut.withColumn("__inside", inside).join(before, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__piece") == F.col("__at")))
+    return j.withColumn("place", (F.col("__before") + F.col("__inside")).cast("int")).drop("__piece", "__inside", "__group", "__at", "__before")

@@ -146,8 +146,9 @@ def experiment_grid(spark, sf):
 
 @register(Q, f"SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY {sql_uniform(3, 'p_partkey')}, p_partkey) AS INTEGER) AS label FROM part")
 def blind_assignment(spark, sf):
-    w = Window.partitionBy("p_brand").orderBy(uniform(3, F.col("p_partkey")), "p_partkey")
-    return table(spark, sf, "part").select("p_partkey", "p_brand", F.row_number().over(w).alias("label"))
+    """Labels in the order of a hashed draw."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand").withColumn("draw", uniform(3, F.col("p_partkey")))
+    return D.numbered(p, "p_brand", "draw", "p_partkey").select("p_partkey", "p_brand", F.col("place").alias("label"))
 
 
 @register(Q, "SELECT a.n_regionkey AS cell, a.n_nationkey AS first, b.n_nationkey AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")

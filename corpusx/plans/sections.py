@@ -67,3 +67,27 @@ def sql_features(docs: str = "documents") -> str:
 def scene_features(spark, sf):
     f = S.scene_features(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
     return f.select("doc_id", F.col("words").cast("long").alias("words"), "dialogue_ratio", "agency", "conflict", "interiority", "channels", "sentence_mean", "sentence_deviation")
+
+
+LINES = "(SELECT doc_id, source, i, l[i] AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), range(1, 7) r(i) WHERE i <= len(l) AND regexp_matches(l[i], '^[A-Za-z]'))"
+
+
+@register(Q, f"""SELECT doc_id AS id, CAST(i AS INTEGER) AS number, coalesce(source, 'Unknown') AS work, CASE WHEN source LIKE '%web%' THEN 'holdout' ELSE 'profiling' END AS part, md5(regexp_replace(rtrim(line, ' '), '^ +', '')) AS digest,
+  CAST(4 - count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_missing FROM {LINES} WHERE i <= 4""")
+def numbered_sections(spark, sf):
+    """Lines of a document that begin with a letter as numbered examples that quote them, by source as the attributed work."""
+    d = table(spark, sf, "documents")
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike("^[A-Za-z]"), F.concat(F.lit("**Example "), (i + 1).cast("string"), F.lit(": quoted**\n> "), x, F.lit("\n"), F.coalesce(F.concat(F.lit("Excerpt from *"), "source", F.lit("*\n")), F.lit("")))).otherwise(""))
+    t = d.select("doc_id", F.array_join(made, "").alias("text"))
+    got = S.numbered_sections(t, "doc_id", "text", r"\*\*Example (\d+): ([^*\n]*)\*\*", r"Excerpt from \*([^*]+)\*", (("web", "holdout"),), (1, 2, 3, 4))
+    return got.select("id", "number", "work", "part", F.md5("text").alias("digest"), F.size("missing").alias("n_missing"))
+
+
+@register(Q, f"""SELECT concat_ws('.', doc_id, 7, n) AS id, CAST(n AS INTEGER) AS number, md5(rtrim(line, ' ')) AS premise, md5(rtrim('so ' || line, ' ')) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM {LINES}) WHERE i % 3 <> 0""")
+def split_proposals(spark, sf):
+    """The first six lines of a document as the premises of proposals; every third has no turn and is dropped."""
+    d = table(spark, sf, "documents")
+    made = F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x, i: F.when(x.rlike("^[A-Za-z]"), F.concat(F.lit("Proposal\nPremise: "), x, F.when((i + 1) % 3 == 0, "\n").otherwise(F.concat(F.lit("\nTurn: so "), x, F.lit("\n"))))).otherwise(""))
+    t = d.select("doc_id", F.lit(7).alias("seed"), F.array_join(made, "").alias("text"))
+    got = S.split_proposals(t, ("doc_id", "seed"), "text", "Proposal\\n", ("Premise", "Turn"), ("Premise", "Turn"))
+    return got.select("id", "number", F.md5(F.col("fields")["Premise"]).alias("premise"), F.md5(F.col("fields")["Turn"]).alias("turn"))
