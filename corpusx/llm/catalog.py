@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusx.llm import bpe, dedup, jaccard, langid, mixing, pii, secrets, tokens, topk, toxicity
+from corpusx.llm import audit, bpe, dedup, fim, jaccard, langid, lmscore, mixing, pii, secrets, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_exact_dedup": dedup.op8_exact_dedup,
         "op9_secrets": secrets.op9_secrets,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+        "op11_fim": fim.op11_fim,
+        "op12_lm_scores": lmscore.op12_lm_scores,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_topk": topk.ORACLE, "op2_mixing": mixing.ORACLE, "op8_exact_dedup": dedup.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op2_mixing": mixing.ORACLE, "op8_exact_dedup": dedup.ORACLE, "op11_fim": fim.ORACLE, "op13_filter_audit": audit.ORACLE}
