@@ -64,7 +64,7 @@ WITH RECURSIVE steps (prefix, step, filter, bit, before, mask) AS (
   SELECT CAST('' AS STRING), 0, CAST('' AS STRING), 0, 0, mask FROM {masks}
   UNION ALL
   SELECT concat(s.prefix, f.filter), s.step + 1, f.filter, f.bit, s.before | s.bit, s.mask
-  FROM steps s JOIN {filters} f ON (s.before | s.bit) & f.bit = 0
+  FROM steps s LATERAL VIEW explode(filter(%s, f -> (s.before | s.bit) & f.bit = 0)) unused AS f
 )
 SELECT prefix, step, filter, mask, bit, mask & bit <> 0 AS fails, mask & before <> 0 AS gone FROM steps WHERE step > 0
 """
@@ -75,12 +75,12 @@ def interactions(found: DataFrame, filters: str, scratch: Scratch) -> DataFrame:
 
     found: cells (part, mask, n, good, toxic), with bit i for the i-th letter of ``filters``.
     """
-    if not 1 <= len(filters) <= MOST_FILTERS or len(set(filters)) != len(filters):
+    if not filters.isalpha() or len(filters) > MOST_FILTERS or len(set(filters)) != len(filters):
         raise ValueError(f"filters must be 1 to {MOST_FILTERS} different letters")
     spark = found.sparkSession
     found = scratch.keep(found, "cells")
-    bits = spark.createDataFrame([(f, 1 << i) for i, f in enumerate(filters)], "filter string, bit int")
-    steps = scratch.keep(spark.sql(STEPS, masks=found.select("mask").distinct(), filters=bits), "steps")
+    letters = ", ".join(f"named_struct('filter', '{f}', 'bit', {1 << i})" for i, f in enumerate(filters))
+    steps = scratch.keep(spark.sql(STEPS % f"array({letters})", masks=found.select("mask").distinct()), "steps")
 
     removed = F.col("fails") & ~F.col("gone")
     total = lambda name, when: F.sum(F.when(when, F.col(name)).otherwise(0)).alias

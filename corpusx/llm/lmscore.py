@@ -40,7 +40,7 @@ def lm_scores(
     counts = scratch.keep(unigram.word_counts(taught, text_col), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("e")).first()
     known = unigram.frequent(counts, most_frequent).toArrow()
-    known = unigram.Frequent(counts._scratch_path, known["word"].to_pylist(), known["n"].to_numpy().astype(np.int64))
+    known = unigram.Frequent(known["word"].to_pylist(), known["n"].to_numpy().astype(np.int64))
 
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     turns, first, sums = ppm.parts(top, order, most_edges), None, None

@@ -39,7 +39,6 @@ SORTED, HELD = 1 << 20, 1 << 21
 MOST_EDGES = 4_000_000
 #: Bytes of a very long text that are read at a time.
 PIECE = 1 << 20
-_WORKER: dict = {}
 
 
 def mask(symbols: int) -> int:
@@ -189,6 +188,7 @@ class Trie:
         at = self.contexts[order].find(key >> BITS)
         total, kinds = self.left[order][:2]
         self.direct = np.log10(many / (total[at] + kinds[at])) if len(key) else np.zeros(0)
+        del self.count[order]  # what it would be asked for is in ``direct``
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each gram after its others."""
@@ -210,7 +210,8 @@ class Trie:
             den = total + kinds
             edge = self.edges[k].find(g & mask(k + 1))
             hit, spent = edge >= 0, (edge < 0) & known & (den > 0)
-            out[open_[hit]] += np.log10(self.count[k][edge[hit]] / den[hit])
+            if hit.any():  # below the deepest order only
+                out[open_[hit]] += np.log10(self.count[k][edge[hit]] / den[hit])
             out[open_[spent]] += np.log10(kinds[spent] / den[spent])
             if len(own[2]):
                 total, kinds = np.where(known, own[2][ctx], 0.0), np.where(known, own[3][ctx], -1.0)
@@ -222,15 +223,15 @@ class Trie:
 class Part:
     """What a pass broadcasts: edges of the part, all edges of order 1, and which contexts it answers for."""
 
-    def __init__(self, uid: str, order: int, arrays: tuple, contexts: np.ndarray | None) -> None:
-        self.uid, self.order, self.arrays, self.contexts = uid, order, arrays, contexts
+    def __init__(self, order: int, arrays: tuple, contexts: np.ndarray | None) -> None:
+        self.order, self.arrays, self.contexts = order, arrays, contexts
+        self.made: Trie | None = None
 
     def trie(self) -> Trie:
-        """The part's trie, made once a worker."""
-        if self.uid not in _WORKER:
-            _WORKER.clear()
-            _WORKER[self.uid] = Trie(*self.arrays, self.order)
-        return _WORKER[self.uid]
+        """The part's trie, made once a worker, which then drops the edges that it was made from."""
+        if self.made is None:
+            self.made, self.arrays = Trie(*self.arrays, self.order), None
+        return self.made
 
     def of_texts(self, col: pa.Array) -> np.ndarray:
         """Sum of log10 probabilities of each text, over the symbols that are this part's."""
@@ -259,10 +260,9 @@ def parts(top: DataFrame, order: int = ORDER, most_edges: int | None = None) ->
     per = top.groupBy(context.alias("c")).count().toArrow()
     c, size = per["c"].to_numpy().astype(np.int64), per["count"].to_numpy().astype(np.int64)
     c, size = c[np.argsort(c)], size[np.argsort(c)]
-    name = top._scratch_path
     if size.sum() <= most:
         found = top.toArrow()
-        yield Part(f"{name}:all", order, (found["gram"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64), *pair_n), None)
+        yield Part(order, (found["gram"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64), *pair_n), None)
         return
     # contexts that no training text has go with the first part
     turn, filled, used = np.zeros(len(c), np.int64), 0, 0
@@ -276,7 +276,7 @@ def parts(top: DataFrame, order: int = ORDER, most_edges: int | None = None) ->
         own = c[turn == p]
         found = top.where(context.between(int(own[0]), int(own[-1]))).toArrow()
         arrays = (found["gram"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64), *pair_n)
-        yield Part(f"{name}:{p}", order, arrays, np.union1d(own, rest) if p == 0 else own)
+        yield Part(order, arrays, np.union1d(own, rest) if p == 0 else own)
 
 
 def train(docs: DataFrame, scratch: Scratch, order: int = ORDER, text_col: str = "text") -> DataFrame:

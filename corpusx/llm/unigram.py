@@ -27,7 +27,6 @@ from corpusx.scratch import small_batches
 MOST_FREQUENT = 1 << 18
 LONGEST = 64
 SMOOTH = 0.1
-_WORKER: dict = {}
 
 
 def pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,18 +99,17 @@ def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
 class Frequent:
     """The broadcast words by their hash."""
 
-    def __init__(self, uid: str, words: list[bytes], n: np.ndarray) -> None:
-        self.uid = uid
+    def __init__(self, words: list[bytes], n: np.ndarray) -> None:
+        self.made: Index | None = None
         data = np.frombuffer(b"".join(words), np.uint8)
         h = Words(data, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64), SPACE).hashes().view(np.int64)
         self.hashes, at = np.unique(h, return_index=True)
         self.n = n[at]
 
     def index(self) -> Index:
-        if self.uid not in _WORKER:
-            _WORKER.clear()
-            _WORKER[self.uid] = Index(self.hashes)
-        return _WORKER[self.uid]
+        """Made once a worker."""
+        self.made = self.made or Index(self.hashes)
+        return self.made
 
 
 def of_texts(col: pa.Array, known: Frequent, smooth: float = SMOOTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
