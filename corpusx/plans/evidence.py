@@ -51,18 +51,6 @@ def chunk_scenes(docs: DataFrame, least: int = 300, most: int = 950, carry: int
 register(Q, name="chunk_scenes")(lambda spark, sf: chunk_scenes(table(spark, sf, "documents")))
 
 
-@register(Q, f"""SELECT doc_id, CAST(max(stop) AS BIGINT) AS prefix_end, CAST(max(run) AS BIGINT) AS words FROM (
-  SELECT doc_id, para, stop, sum(n) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM (SELECT doc_id, idx, para, len({sql_tokens('para')}) AS n,
-    sum(length(para) + 1) OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS stop FROM (SELECT doc_id, unnest(p) AS para, unnest(range(0, len(p))) AS idx FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))))
-  WHERE run BETWEEN 50 AND 400 AND regexp_matches(para, '[.!?]$') GROUP BY doc_id""")
-def prefix_in_band(spark, sf):
-    """Longest prefix of whole paragraphs with 50 to 400 words that ends a sentence."""
-    p = S.paragraphs(table(spark, sf, "documents")).withColumn("n", F.size(tokenize(F.col("para"))))
-    run = F.sum("n").over(Window.partitionBy("doc_id").orderBy("idx"))
-    ok = p.withColumn("run", run).where(F.col("run").between(50, 400) & F.col("para").rlike("[.!?]$"))
-    return ok.groupBy("doc_id").agg(F.max("end").cast("long").alias("prefix_end"), F.max("run").alias("words"))
-
-
 @register(Q, """SELECT page_id, i // 2 AS nth, CAST(a + 1 AS BIGINT) AS start, CAST(a + 1 + length(q) AS BIGINT) AS stop, q AS quoted FROM (
   SELECT page_id, i, q, sum(length(q) + 1) OVER (PARTITION BY page_id ORDER BY i) - length(q) - 2 AS a, n FROM (SELECT page_id, unnest(s) AS q, unnest(range(0, len(s))) AS i, len(s) AS n FROM (SELECT page_id, string_split(html, '"') AS s FROM pages)))
   WHERE i % 2 = 1 AND i < n - 1""")
