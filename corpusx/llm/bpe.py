@@ -8,7 +8,7 @@ worker while a bounded memo holds them. Decoding gathers bytes through an offset
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty
 text; strings of added tokens inside a text become those tokens; repeated rows give repeated
-results; other columns pass through untouched, so none may be called like the new ones.
+results; other columns pass through untouched, those called like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusx.llm.kernels import beside
 from corpusx.scratch import small_batches
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
@@ -174,18 +175,16 @@ def add_column(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType,
     """``df`` with columns that ``fn`` makes from the values of ``text_col``, batch by batch, in place of
     columns of their names."""
     small_batches(df.sparkSession)
-    df = df.drop(*[n for n, _, _ in fields if n != text_col])
-    names = df.columns
-    at = names.index(text_col)
+    df, at, names = beside(df, text_col, [n for n, _, _ in fields])
     types = [t for _, _, t in fields]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t, _ in fields]])
+    schema = T.StructType([*df.schema.fields[: len(names)], *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 s = b.slice(lo, 500)
                 made = fn(s.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*s.columns, *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], [*names, *[n for n, _, _ in fields]])
+                yield pa.RecordBatch.from_arrays([*s.columns[: len(names)], *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], [*names, *[n for n, _, _ in fields]])
 
     return df.mapInArrow(run, schema)
 

@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars.
+
+Defined cases: edges are read in either direction and repeated ones once; an edge from a node to itself makes no
+component, nor does an edge with a null end; a table without edges gives no rows; extra columns are not read.
+"""
 
 from __future__ import annotations
 

@@ -24,9 +24,10 @@ from corpusx.scratch import Scratch
 #: The characters that normalisation deletes.
 BLANK = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 FIRST, GROWTH, WIDEST = 64, 8, 1 << 21
-#: Groups (about 100 bytes each) that are broadcast to the rows; beyond that both sides are shuffled
-#: and adaptive execution splits what is skewed. Changes the plan alone.
+#: Groups, and bytes of their digits, that are broadcast to the rows; beyond either both sides are shuffled and
+#: sorted, which spills, and adaptive execution splits what is skewed. Changes the plan alone.
 MOST_BROADCAST = 200_000
+MOST_BYTES = 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -44,12 +45,15 @@ def split(members: DataFrame, keys: list[str], scratch: Scratch, name: str) -> D
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return members.join(sized(groups), on, "left").drop(*[f"__{k}" for k in keys])
+    return members.join(sized(groups, F.octet_length("__digit")), on, "left").drop(*[f"__{k}" for k in keys])
 
 
-def sized(groups: DataFrame) -> DataFrame:
-    """A written table of groups with the hint that its size asks for: no text moves while it is small."""
-    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups.hint("shuffle_hash")
+def sized(groups: DataFrame, wide: Column | None = None) -> DataFrame:
+    """A written table of groups with the hint that its size asks for: no text moves while it is small.
+
+    wide: bytes of the one column of a group that has no bound."""
+    rows, size = groups.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if wide is None else wide), F.lit(0))).first()
+    return F.broadcast(groups) if rows <= MOST_BROADCAST and size <= MOST_BYTES else groups.hint("merge")
 
 
 def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -115,7 +119,7 @@ WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS code_points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
 ), g AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY code_points DESC, doc_id NULLS LAST) AS keep_id,
-         count(*) OVER (PARTITION BY plain) AS group_size FROM n
+         max(code_points) OVER (PARTITION BY plain) AS most, count(*) OVER (PARTITION BY plain) AS group_size FROM n
 )
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(plain) AS text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND code_points = most AS kept, sha256(plain) AS text_sha256 FROM g
 """

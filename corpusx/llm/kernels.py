@@ -1,4 +1,5 @@
-"""Vectorised text kernels for Arrow batches: words of UTF-8 buffers and their 64-bit hashes."""
+"""Vectorised text kernels for Arrow batches: words of UTF-8 buffers and their 64-bit hashes; and which columns
+such a batch carries beside new ones."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ONE, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -125,3 +128,13 @@ def shingles(words: Words, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], doc[new]
+
+
+def beside(df: DataFrame, text_col: str, new: list[str]) -> tuple[DataFrame, int, list[str]]:
+    """``df`` without columns of the new names, the place of the text in it, and the names of the columns that stay;
+    a text whose own name is one of the new is carried as one column more."""
+    taken = {n.lower() for n in new}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    if text_col.lower() in taken:
+        return df.select(*kept, F.col(text_col).alias("__text")), len(kept), kept
+    return df.select(*kept), [c.lower() for c in kept].index(text_col.lower()), kept

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusx.llm.kernels import LETTER, ONE, Words, chunks, mix, powers, separators
+from corpusx.llm.kernels import LETTER, ONE, Words, beside, chunks, mix, powers, separators
 from corpusx.scratch import Scratch, small_batches
 
 #: Anything in ASCII that isn't a letter.
@@ -283,10 +283,10 @@ def train(docs: DataFrame, vocabulary: str, rows_per_lang: int = 1500, rounds: i
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, the probability of that language given the text."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs, at, names = beside(docs, text_col, ["lang_pred", "score"])
+    text_col = docs.columns[at]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = docs.withColumn("__lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -301,11 +301,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     ll = scorer.of_texts(data, offsets)
                     best[lo:hi] = ll.argmax(1)
                     score[lo:hi] = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
-            ok = b.column(len(names)).to_numpy(zero_copy_only=False) & bool(m.langs)
+            ok = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) & bool(m.langs)
             pred = [m.langs[i] if o else "und" for i, o in zip(best.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred), pa.array(np.where(ok, score, 0.0))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(pred), pa.array(np.where(ok, score, 0.0))], [*names, "lang_pred", "score"])
 
-    return lettered.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return lettered.mapInArrow(run, docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def part(doc_id):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusx.llm.kernels import NOT_WORD, Words, chunks
+from corpusx.llm.kernels import NOT_WORD, Words, beside, chunks
 from corpusx.scratch import small_batches
 
 PREFIXES = (4, 5, 6)
@@ -165,9 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``, the probability that the text is toxic, in place of a column of that name."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(out_col)
+    docs, at, names = beside(docs, text_col, [out_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index(text_col), docs.columns
     mask = np.uint64((1 << 20) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +182,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 else:
                     doc, term = doc[:0], np.zeros(0, np.int64)
                 out[lo : lo + n] = m.score(doc, term, n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out)], [*names, out_col])
 
-    return docs.mapInArrow(run, docs.withColumn(out_col, F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.select(*names, F.lit(0.0).alias(out_col)).schema)
 
 
 def part(doc_id, of: int):
