@@ -120,18 +120,8 @@ def infer_facets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*own, F.col("lang"), F.col("source"))))), ",").alias("facets"))
 
 
-FAMILIES = [("triple", "[a-z]+, [a-z]+, [a-z]+"), ("short", "[.!?] [A-Z][a-z]*[.!?]")]
 
 
-@register(Q, " UNION ALL ".join(f"SELECT doc_id, '{f}' AS family, len(m) AS hits, round(1000.0 * len(m) / greatest(1, n), 6) AS rate, array_to_string(m[1:8], '|') AS evidence FROM (SELECT doc_id, len({TOKS}) AS n, regexp_extract_all(coalesce(text, ''), '{p}') AS m FROM documents)" for f, p in FAMILIES))
-def cadence_families(spark, sf):
-    """Non-overlapping hits of each family, per thousand words, with the first eight as evidence."""
-    t = F.coalesce("text", F.lit(""))
-    each = F.array(*[F.struct(F.lit(f).alias("family"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("m")) for f, p in FAMILIES])
-    rows = table(spark, sf, "documents").select("doc_id", F.size(tokenize(F.col("text"))).alias("n"), F.explode(each).alias("r"))
-    hits = F.size("r.m").cast("long")
-    return rows.select("doc_id", "r.family", hits.alias("hits"), F.round(1000.0 * hits / F.greatest(F.lit(1), "n"), 6).alias("rate"), F.array_join(F.slice("r.m", 1, 8), "|").alias("evidence"))
-
 
 SIGNALS = [("quoted", "(?s)\".*\""), ("contact", "@"), ("after_contact", "(?s)@.*[0-9]"), ("closed", "[.!?]$")]
 

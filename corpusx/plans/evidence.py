@@ -51,16 +51,6 @@ def chunk_scenes(docs: DataFrame, least: int = 300, most: int = 950, carry: int
 register(Q, name="chunk_scenes")(lambda spark, sf: chunk_scenes(table(spark, sf, "documents")))
 
 
-@register(Q, """SELECT page_id, i // 2 AS nth, CAST(a + 1 AS BIGINT) AS start, CAST(a + 1 + length(q) AS BIGINT) AS stop, q AS quoted FROM (
-  SELECT page_id, i, q, sum(length(q) + 1) OVER (PARTITION BY page_id ORDER BY i) - length(q) - 2 AS a, n FROM (SELECT page_id, unnest(s) AS q, unnest(range(0, len(s))) AS i, len(s) AS n FROM (SELECT page_id, string_split(html, '"') AS s FROM pages)))
-  WHERE i % 2 = 1 AND i < n - 1""")
-def extract_quotes(spark, sf):
-    """Text between pairs of double quotes with offsets (start after the opening quote)."""
-    s = table(spark, sf, "pages").select("page_id", F.split("html", '"', -1).alias("s"))
-    p = s.select("page_id", F.size("s").alias("n"), F.posexplode("s").alias("i", "q"))
-    a = F.sum(F.length("q") + 1).over(Window.partitionBy("page_id").orderBy("i")) - F.length("q") - 1
-    return p.withColumn("start", a).where("i % 2 = 1 and i < n - 1").select("page_id", F.floor(F.col("i") / 2).alias("nth"), "start", (F.col("start") + F.length("q")).alias("stop"), F.col("q").alias("quoted"))
-
 
 @register(Q, """SELECT doc_id, a > 0 AND b > 0 AS all_found, CASE WHEN a > 0 AND b > 0 THEN round((a + b - 1) / length(text), 6) END AS fraction FROM (
   SELECT *, CASE WHEN a > 0 THEN strpos(substr(text, a + 1), '.') ELSE 0 END AS b FROM (SELECT doc_id, text, strpos(text, ',') AS a FROM documents WHERE text IS NOT NULL))""")

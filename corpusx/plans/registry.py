@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusx.plans import authorship, campaign, evidence, judging, lineage, ordinal, overlap_queries, provenance_queries, records, recovery, retrieval, reviews, sections, selection, shaping
+from corpusx.plans import authorship, campaign, evidence, judging, lineage, ordinal, overlap_queries, provenance_queries, records, recovery, retrieval, reviews, sections, selection, shaping, voices
 
-MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign, sections, selection, records, lineage, recovery, ordinal, authorship)
+MODULES = (overlap_queries, shaping, retrieval, judging, provenance_queries, reviews, evidence, campaign, sections, selection, records, lineage, recovery, ordinal, authorship, voices)
 
 
 def flagship(spark, sf_dir):

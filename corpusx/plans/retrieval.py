@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusx.functions.text import sql_tokens, tokenize
+from corpusx.functions.text import sql_tokens
 from corpusx.operators import sections as S
+from corpusx.operators.ranking import bm25_scores
+from corpusx.operators.ranking import bm25_top as top_k
 from corpusx.plans.sections import sql_features
 from corpusx.plans.tables import register, table
 
 Q: dict = {}
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, most_terms: int = 28, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): queries (query_id, text) joined to postings on the term; statistics
-    cover the whole index."""
-    toks = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    post = toks.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    length = toks.groupBy("doc_id").agg(F.count("*").alias("dl"))
-    stats = docs.agg(F.count("*").alias("n")).join(length.agg(F.sum("dl").alias("words")))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    terms = F.slice(F.array_distinct(F.filter(tokenize(F.col("text")), lambda x: F.length(x) > 2)), 1, most_terms)
-    q = queries.select("query_id", F.explode(terms).alias("term"))
-    m = q.join(df, "term").join(post, "term").join(length, "doc_id").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("words") / F.col("n"))))
-    return m.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
-
-
 TOKS = sql_tokens()
 BM25 = f"""(WITH tk AS (SELECT doc_id, unnest({TOKS}) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM tk GROUP BY ALL),
   len AS (SELECT doc_id, count(*) AS dl FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
@@ -54,6 +40,13 @@ def bm25(spark, sf):
     return j.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.round(lex, 4).alias("lexical"))
 
 
+@register(Q, f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 4) AS score FROM {BM25})) WHERE rank <= 10")
+def bm25_top(spark, sf):
+    """Ten best documents a query by score alone; most postings of common words are never joined."""
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return top_k(queries, table(spark, sf, "documents").select("doc_id", "text"), 10).select("query_id", "doc_id", "rank", "score")
+
+
 @register(Q, "SELECT doc_id, lang, source FROM documents d WHERE lang IN ('en', 'de') AND source <> 'src0' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)")
 def facet_filter(spark, sf):
     bad = table(spark, sf, "labels").where("toxic = 1").select("doc_id")

@@ -294,22 +294,7 @@ def control_phrase_overlap(spark, sf):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_pairs"), F.sum(F.size(F.array_intersect("g", "p")).cast("long")).alias("shared"))
 
 
-SPEAKERS = f"(SELECT conv_id, role, tok, count(*) AS n FROM (SELECT conv_id, role, unnest({TOKS}) AS tok FROM conversations) GROUP BY ALL)"
-
-
-@register(Q, f"""SELECT conv_id, role_a, role_b, round(dot / (na * nb), 6) AS cosine, round(common / (ca + cb - common), 6) AS vocabulary FROM (
-  SELECT a.conv_id, a.role AS role_a, b.role AS role_b, sum(a.n * b.n) AS dot, count(*) AS common FROM {SPEAKERS} a JOIN {SPEAKERS} b ON a.conv_id = b.conv_id AND a.tok = b.tok AND a.role < b.role GROUP BY ALL)
-  JOIN (SELECT conv_id, role AS role_a, sqrt(sum(n * n)) AS na, count(*) AS ca FROM {SPEAKERS} GROUP BY ALL) USING (conv_id, role_a)
-  JOIN (SELECT conv_id, role AS role_b, sqrt(sum(n * n)) AS nb, count(*) AS cb FROM {SPEAKERS} GROUP BY ALL) USING (conv_id, role_b)""")
-def speaker_similarity(spark, sf):
-    t = table(spark, sf, "conversations").select("conv_id", "role", F.explode(tokenize(F.col("text"))).alias("tok")).groupBy("conv_id", "role", "tok").agg(F.count("*").alias("n"))
-    norm = t.groupBy("conv_id", "role").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.count("*").alias("size"))
-    a = t.select("conv_id", "tok", F.col("role").alias("role_a"), F.col("n").alias("x"))
-    b = t.select("conv_id", "tok", F.col("role").alias("role_b"), F.col("n").alias("y"))
-    p = a.join(b, ["conv_id", "tok"]).where("role_a < role_b").groupBy("conv_id", "role_a", "role_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count("*").alias("common"))
-    for side in ("a", "b"):
-        p = p.join(norm.toDF("conv_id", f"role_{side}", f"n{side}", f"c{side}"), ["conv_id", f"role_{side}"])
-    return p.select("conv_id", "role_a", "role_b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"), F.round(F.col("common") / (F.col("ca") + F.col("cb") - F.col("common")), 6).alias("vocabulary"))
+
 
 
 @register(Q, "SELECT event_type, count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
