@@ -120,9 +120,6 @@ def infer_facets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*own, F.col("lang"), F.col("source"))))), ",").alias("facets"))
 
 
-
-
-
 SIGNALS = [("quoted", "(?s)\".*\""), ("contact", "@"), ("after_contact", "(?s)@.*[0-9]"), ("closed", "[.!?]$")]
 
 

@@ -51,7 +51,6 @@ def chunk_scenes(docs: DataFrame, least: int = 300, most: int = 950, carry: int
 register(Q, name="chunk_scenes")(lambda spark, sf: chunk_scenes(table(spark, sf, "documents")))
 
 
-
 @register(Q, """SELECT doc_id, a > 0 AND b > 0 AS all_found, CASE WHEN a > 0 AND b > 0 THEN round((a + b - 1) / length(text), 6) END AS fraction FROM (
   SELECT *, CASE WHEN a > 0 THEN strpos(substr(text, a + 1), '.') ELSE 0 END AS b FROM (SELECT doc_id, text, strpos(text, ',') AS a FROM documents WHERE text IS NOT NULL))""")
 def ordered_pattern_gate(spark, sf):

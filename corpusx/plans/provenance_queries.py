@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusx.plans.tables import register, table
 from corpusx.scratch import Scratch
+from corpusx.streaming.latest import keep_latest, read_latest
 
 Q: dict = {}
 
@@ -117,20 +118,12 @@ def graph_integrity(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def stream_latest_into(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain a stream of (user_id, ts, event_id, event_type) into the latest record per user."""
-    best = events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("last"))
-
-    def put(batch: DataFrame, n: int) -> None:
-        batch.select("user_id", "last.event_id", "last.event_type").write.mode("overwrite").parquet(path)
-
-    best.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 @register(Q, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_latest(spark, sf):
+    """The latest event of each user, drained from the events table as a stream."""
     s = Scratch(spark, "stream")
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    stream_latest_into(events, f"{s.root}/latest", f"{s.root}/checkpoint")
-    return spark.read.parquet(f"{s.root}/latest")
+    keep_latest(events, f"{s.root}/latest", f"{s.root}/checkpoint", "user_id", ["ts", "event_id"], ["event_type"])
+    kept = events.select("user_id", "ts", "event_id", "event_type").schema
+    return read_latest(spark, f"{s.root}/latest", kept).select("user_id", "event_id", "event_type")

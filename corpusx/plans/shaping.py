@@ -294,9 +294,6 @@ def control_phrase_overlap(spark, sf):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_pairs"), F.sum(F.size(F.array_intersect("g", "p")).cast("long")).alias("shared"))
 
 
-
-
-
 @register(Q, "SELECT event_type, count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def telemetry_rollup(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 2).alias("total"), F.countDistinct("user_id").alias("users"))
