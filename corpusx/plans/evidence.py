@@ -3,11 +3,12 @@ a join on a key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusx.functions.text import ngrams, sql_ngrams, sql_tokens, tokenize
-from corpusx.operators import shape as S
+from corpusx.functions.text import ngrams, sql_ngrams, sql_tokens, tokenize, windows
+from corpusx.operators.lsh import minhash_join as join_by_signatures
+from corpusx.operators.lsh import signature
 from corpusx.plans.overlap_queries import CONTAINED, PAIRS, contained, diversity_pairs
 from corpusx.plans.tables import register, table
 from corpusx.sources.records import merge_corpus as merge
@@ -83,21 +84,21 @@ def style_discontinuity(spark, sf):
     return r.select("doc_id", F.round("a", 6).alias("head_rate"), F.round("b", 6).alias("tail_rate"), ((hi - lo >= 5) & F.when(lo == 0, hi > 0).otherwise(hi / lo >= 2)).alias("discontinuous"))
 
 
-SALTS = [(2 * s * s + 7 * s + 1, 31 * s + 17) for s in range(32)]
-
-
 @register(Q, f"""SELECT item_id, array_to_string(list_transform(range(0, 32), lambda s: coalesce(list_min(list_transform(h, lambda x: (x * (2 * s * s + 7 * s + 1) + 31 * s + 17) % 2147483647)), 2147483647)), ',') AS signature FROM (
   SELECT item_id, list_transform({sql_ngrams('toks', 5)}, lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT)) AS h FROM (SELECT item_id, {TOKS} AS toks FROM benchmark))""")
 def minhash_signature(spark, sf):
     """32 salted minima over hashes of 5-grams; a text without 5-grams has the largest values."""
     h = F.transform(ngrams(F.col("toks"), 5), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
     d = table(spark, sf, "benchmark").select("item_id", tokenize(F.col("text")).alias("toks")).select("item_id", h.alias("h"))
+    return d.select("item_id", F.array_join(signature(F.col("h")), ",").alias("signature"))
 
-    def least(salt):
-        a, b = salt
-        return F.coalesce(F.array_min(F.transform("h", lambda x: (x * a + b) % 2147483647)), F.lit(2147483647))
 
-    return d.select("item_id", F.array_join(F.array(*map(least, SALTS)), ",").alias("signature"))
+@register(Q)
+def minhash_join(spark, sf):
+    """The likeliest window of 50 words of each document for each benchmark passage that it resembles: bands of signatures, verified."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(windows(tokenize(F.col("text")), 50, 25, 8)).alias("w"))
+    pairs = join_by_signatures(d.select("doc_id", F.array_join("w.toks", " ").alias("text")), table(spark, sf, "benchmark"), ("doc_id", "item_id"))
+    return pairs.groupBy(F.col("id").alias("doc_id"), F.col("other_id").alias("item_id")).agg(F.max("similarity").alias("similarity"))
 
 
 @register(Q, f"""SELECT c.id, count(*) AS flags, count(*) FILTER (WHERE l.doc_id IS NULL) AS unresolved, bool_or(coalesce(toxic, 0) = 1) AS hard_fail FROM {CONTAINED} c LEFT JOIN labels l ON l.doc_id = c.id WHERE flagged GROUP BY c.id""")
