@@ -7,6 +7,10 @@ verified by the Jaccard similarity of their sets of n-gram hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ SIZE = 32
 MOST = (1 << 31) - 1
 #: Multiplier and offset of each salted permutation of 31-bit hashes.
 SALTS = [(2 * s * s + 7 * s + 1, 31 * s + 17) for s in range(SIZE)]
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a bucket that stay together.
 PIECE = 10_000
 
@@ -31,15 +36,32 @@ def signature(hashes: Column, size: int = SIZE) -> Column:
 
 
 def gram_sets(texts: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, grams): the distinct hashes below 2^31 of a text's n-grams, sorted; texts without n words are left out."""
+    """(id, grams): the distinct hashes below 2^31 of a text's n-grams, sorted; none for a text of fewer than n words."""
     t = texts.select(F.col(id_col).alias("id"), word_hashes(tokenize(F.col(text_col))).alias("w"))
     h = F.transform(window_hashes(F.col("w"), n), lambda x: F.pmod(x, F.lit(MOST)))
-    return t.select("id", F.array_sort(F.array_distinct(h)).alias("grams")).where(F.size("grams") > 0)
+    return t.select("id", F.array_sort(F.array_distinct(h)).alias("grams"))
+
+
+def band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(cls, key) for every band of the signatures of (cls, grams): a number made of the band and its minima."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grams = b.column(1)
+            first = grams.offsets.to_numpy()[:-1] - grams.offsets[0].as_py()
+            values = grams.flatten().to_numpy(zero_copy_only=False)
+            keys = np.empty((b.num_rows, bands), np.uint64)
+            for i in range(bands):
+                key = np.full(b.num_rows, i + 1, np.uint64)
+                for a, c in SALTS[i * rows : (i + 1) * rows]:
+                    key = key * ODD + np.minimum.reduceat((values * a + c) % MOST, first).astype(np.uint64)
+                    key ^= key >> np.uint64(29)
+                keys[:, i] = key
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands))), pa.array(keys.reshape(-1).view(np.int64))], ["cls", "key"])
 
-def band_keys(sig: Column, bands: int, rows: int) -> Column:
-    """One key per band of a signature."""
-    return F.array(*[F.xxhash64(F.lit(i), F.slice(sig, i * rows + 1, rows)) for i in range(bands)])
+    return sets.select("cls", "grams").mapInArrow(run, "cls long, key long")
 
 
 def minhash_join(a: DataFrame, b: DataFrame, ids: tuple[str, str], least: float = 0.4, n: int = 5, bands: int = 16, rows: int = 2, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -54,10 +76,9 @@ def minhash_join(a: DataFrame, b: DataFrame, ids: tuple[str, str], least: float
     scratch = scratch or Scratch(a.sparkSession, "lsh")
     sides = []
     for name, side, id_col in (("a", a, ids[0]), ("b", b, ids[1])):
-        members = scratch.keep(gram_sets(side, id_col, text_col, n), f"{name}-members")
+        members = scratch.keep(gram_sets(side, id_col, text_col, n), f"{name}-members").where(F.size("grams") > 0)  # where it is read: pushed into the making it would double it
         reps = scratch.keep(members.select("grams").distinct().withColumn("cls", F.monotonically_increasing_id()), f"{name}-classes")
-        keys = reps.withColumn("sig", signature(F.col("grams"), bands * rows)).select("cls", F.explode(band_keys(F.col("sig"), bands, rows)).alias("key"))
-        sides.append((members, reps, scratch.keep(keys, f"{name}-keys")))
+        sides.append((members, reps, scratch.keep(band_keys(reps, bands, rows), f"{name}-keys")))
     (ma, ra, ka), (mb, rb, kb) = sides
     # a large bucket of the one side is cut into pieces; the other side's members of it are repeated for each
     large = ka.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cuts")).where("cuts > 1")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusx.functions.text import ngrams, tokenize, window_hashes, word_hashes
+from corpusx.scratch import Scratch
 
 #: Rows that are broadcast (n-grams, or documents with a hit); beyond that both sides are shuffled.
 MOST_BROADCAST = 1_000_000
@@ -23,11 +24,18 @@ def sized(small: DataFrame) -> DataFrame:
 
 
 def found_grams(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, toks, hits): documents with the places (pos, gram) at which they hold one of ``grams`` (gram)."""
+    """(id, toks, hits): documents with the places (pos, gram) at which they hold one of ``grams`` (gram).
+
+    Places are found by hash and written; then documents with a hit are read again beside their places, which are broadcast while they
+    are few, so their texts don't move. Rows that repeat an id are each compared with the places of all of them; a null id is an id.
+    """
     wanted = grams.select("gram").distinct().select("gram", word_hashes(F.split("gram", " ")).alias("w")).select("gram", F.xxhash64("w").alias("h"))
     t = docs.select(F.col(id_col).alias("id"), word_hashes(tokenize(F.col(text_col))).alias("w")).select("id", F.posexplode(window_hashes(F.col("w"), n)).alias("pos", "h"))
-    hits = t.join(sized(wanted), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
-    said = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).join(hits, "id")
+    scratch = Scratch(docs.sparkSession, "overlap")
+    wanted = scratch.keep(wanted, "grams")
+    places = t.join(sized(wanted), "h").groupBy("id").agg(F.collect_set(F.struct("pos", "gram")).alias("hits"))
+    places = sized(scratch.keep(places.withColumnRenamed("id", "of"), "places"))
+    said = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, F.col("id").eqNullSafe(F.col("of"))).select("id", tokenize(F.col("text")).alias("toks"), "hits")
     same = F.filter("hits", lambda x: F.array_join(F.slice("toks", x["pos"] + 1, n), " ") == x["gram"])
     return said.select("id", "toks", same.alias("hits"))
 
@@ -123,12 +131,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 5
     return sorted_windows(docs.select(id_col, text_col), id_col, text_col, n).where(F.size("toks") >= n).select("id", repeat_count(n, apart).alias("n_repeats"))
 
 
-def self_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, least_words: int = 40, text_col: str = "text", sep: str = "\n") -> DataFrame:
-    """(id, n_repeats, repeated_paragraphs, hard_fail): repeated windows, and paragraphs of ``least_words`` or more
-    (equal after tokenizing) beyond their first occurrence; either fails the document. Every document has a row."""
+def self_repetition(docs: DataFrame, id_col: str = "doc_id", n: int = 50, apart: int = 50, least_words: int = 20, text_col: str = "text", gap: str = r"\n\s*\n") -> DataFrame:
+    """(id, n_repeats, repeated_paragraphs, hard_fail): repeated windows, and paragraphs of ``least_words`` or more (cut at ``gap``,
+    a blank line; equal after tokenizing) beyond their first occurrence; either fails the document. Every document has a row."""
     t = sorted_windows(docs.select(id_col, text_col), id_col, text_col, n)
-    paras = F.transform(F.filter(F.split(F.col(text_col), sep, -1), lambda p: F.length(p) >= 2 * least_words - 1), lambda p: tokenize(p))
-    t = t.withColumn("paras", F.when(F.instr(text_col, sep) > 0, paras).otherwise(F.array().cast("array<array<string>>")))
+    text = F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n"))
+    paras = F.transform(F.filter(F.split(text, gap, -1), lambda p: F.length(p) >= 2 * least_words - 1), lambda p: tokenize(p))
+    t = t.withColumn("paras", F.when(text.rlike(gap), paras).otherwise(F.array().cast("array<array<string>>")))
     t = t.withColumn("long", F.filter("paras", lambda p: F.size(p) >= least_words))
     again = (F.size("long") - F.size(F.array_distinct("long"))).cast("long")
     t = t.select("id", repeat_count(n, apart).alias("n_repeats"), F.coalesce(again, F.lit(0).cast("long")).alias("repeated_paragraphs"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusx.scratch import Scratch
+
 
 def critic_only_check(payloads: DataFrame, id_col: str, payload_col: str, permitted: Sequence[str], forbidden: Sequence[str]) -> DataFrame:
     """(id, unknown, forbidden, passed): keys of a JSON object that a critic may not use at all, and keys that would
@@ -46,27 +48,27 @@ def occurrence_ledger(packets: DataFrame, id_col: str, atoms_col: str) -> DataFr
     return t.where(F.length("text") > 0)
 
 
-def merge_layers(layers: DataFrame, scalars: Sequence[str], lists: Sequence[str], most: int = 16) -> DataFrame:
+def merge_layers(layers: DataFrame, scalars: Sequence[str], lists: Sequence[str], scratch: Scratch | None = None) -> DataFrame:
     """(profile, depth, scalars, lists) of every profile of a table (profile, extends, scalars, lists, version): a scalar is the
     non-empty value nearest to the profile in its chain of bases, a list the union in order from the last base on.
 
-    A chain of more than ``most`` layers (a cycle is one), a base that isn't in the table, or layers of different
-    versions are errors.
+    A chain that comes back to one of its layers, a base that isn't in the table, or layers of different versions are errors. Chains may be
+    of any length: each round adds one layer to those that go on and is written.
     """
+    scratch = scratch or Scratch(layers.sparkSession, "layers")
     own = F.struct("version", *scalars, *lists)
     base = layers.select(F.col("profile").alias("b"), F.col("extends").alias("up"), own.alias("layer"))
-    state = layers.select("profile", "extends", F.array(own).alias("chain"))
+    state = scratch.keep(layers.select("profile", "extends", F.array("profile").alias("path"), F.array(own).alias("chain")), "chains")
     done = state.where("extends is null")
-    for _ in range(most):
-        state = state.where("extends is not null")
-        if state.isEmpty():
-            break
+    while not (state := state.where("extends is not null")).isEmpty():
         joined = state.join(base, F.col("extends") == F.col("b"), "left")
-        checked = F.when(F.col("b").isNull(), F.raise_error(F.concat(F.lit("unknown base "), F.col("extends")))).otherwise(F.concat("chain", F.array("layer")))
-        state = joined.select("profile", F.col("up").alias("extends"), checked.alias("chain"))
+        checked = (
+            F.when(F.col("b").isNull(), F.raise_error(F.concat(F.lit("unknown base "), F.col("extends").cast("string"))))
+            .when(F.array_contains("path", F.col("b")), F.raise_error(F.concat(F.lit("a cycle at "), F.col("b").cast("string"))))
+            .otherwise(F.concat("chain", F.array("layer")))
+        )
+        state = scratch.keep(joined.select("profile", F.col("up").alias("extends"), F.concat("path", F.array("b")).alias("path"), checked.alias("chain")), "chains")
         done = done.unionByName(state.where("extends is null"))
-    else:
-        raise ValueError(f"a chain of more than {most} layers, or a cycle")
     versions = F.size(F.array_distinct(F.transform("chain", lambda x: x["version"])))
     chain = F.when(versions > 1, F.raise_error(F.lit("layers of different versions"))).otherwise(F.col("chain"))
     nearest = lambda c: F.coalesce(F.get(F.filter("chain", lambda x: F.length(F.trim(x[c])) > 0), F.lit(0))[c], F.lit(""))

@@ -96,7 +96,7 @@ def minhash_signature(spark, sf):
 @register(Q)
 def minhash_join(spark, sf):
     """The likeliest window of 50 words of each document for each benchmark passage that it resembles: bands of signatures, verified."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(windows(tokenize(F.col("text")), 50, 25, 8)).alias("w"))
+    d = table(spark, sf, "documents").select("doc_id", tokenize(F.col("text")).alias("toks")).select("doc_id", F.explode(windows(F.col("toks"), 50, 25, 8)).alias("w"))
     pairs = join_by_signatures(d.select("doc_id", F.array_join("w.toks", " ").alias("text")), table(spark, sf, "benchmark"), ("doc_id", "item_id"))
     return pairs.groupBy(F.col("id").alias("doc_id"), F.col("other_id").alias("item_id")).agg(F.max("similarity").alias("similarity"))
 

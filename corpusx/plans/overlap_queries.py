@@ -83,7 +83,7 @@ def repeat_sql(n: int, apart: int) -> str:
     return f"SELECT id, CAST(sum(CASE WHEN pos - first >= {apart} THEN 1 ELSE 0 END) AS BIGINT) AS n_repeats FROM (SELECT *, min(pos) OVER (PARTITION BY id, gram) AS first FROM {g}) GROUP BY id"
 
 
-LONG_PARAGRAPHS = f"""(SELECT doc_id, array_to_string({sql_tokens('p')}, ' ') AS said FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents) WHERE len({sql_tokens('p')}) >= 40)"""
+LONG_PARAGRAPHS = f"""(SELECT doc_id, array_to_string({sql_tokens('p')}, ' ') AS said FROM (SELECT doc_id, unnest(string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n\\s*\\n')) AS p FROM documents) WHERE len({sql_tokens('p')}) >= 20)"""
 
 
 @register(Q, f"""SELECT d.doc_id AS id, coalesce(n_repeats, 0) AS n_repeats, coalesce(again, 0) AS repeated_paragraphs, coalesce(n_repeats, 0) > 0 OR coalesce(again, 0) > 0 AS hard_fail

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,12 @@ def parents(spark, sf) -> DataFrame:
         p.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"))).distinct()
 
 
-def closure(edges: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
-    """(src, dst, depth): all that is reachable, by joining the last layer until nothing is new."""
+def closure(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst, depth): all that is reachable, by joining the last layer until nothing is new; a cycle ends as well, as its
+    pairs are known after one turn. Every layer is written."""
     known = scratch.keep(edges.withColumn("depth", F.lit(1)), "layer")
     layers, last = [known], known
-    for depth in range(2, most + 1):
+    for depth in count(2):
         seen = layers[0]
         for x in layers[1:]:
             seen = seen.unionByName(x)
@@ -97,7 +100,6 @@ def closure(edges: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
         if last.isEmpty():
             return seen
         layers.append(last)
-    raise ValueError("deeper than expected")
 
 
 PARENTS = "(SELECT DISTINCT 'part:' || p_partkey AS src, p_brand AS dst FROM part UNION SELECT DISTINCT p_brand, p_type FROM part)"

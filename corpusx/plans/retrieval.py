@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusx.functions.lexicons import LEXICON
 from corpusx.functions.text import sql_tokens
 from corpusx.operators import sections as S
 from corpusx.operators.ranking import bm25_scores
@@ -66,7 +67,7 @@ HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * round(CASE WHEN hi = lo THEN
 def hybrid(spark, sf):
     """0.28 lexical + 0.20 facet + 0.27 geometry (cosine of a document's features and the desired ones) + 0.07 size."""
     d = table(spark, sf, "documents")
-    made = S.scene_features(d, "doc_id", "text").select(F.col("id").alias("doc_id"), "words", F.round(S.cosine(F.col("vector"), F.array(*map(F.lit, DESIRED))), 4).alias("geometry"))
+    made = S.scene_features(d, "doc_id", "text", LEXICON).select(F.col("id").alias("doc_id"), "words", F.round(S.cosine(F.col("vector"), F.array(*map(F.lit, DESIRED))), 4).alias("geometry"))
     s = ranked(spark, sf)
     ends = s.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     lexical = F.round(F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 4)

@@ -65,7 +65,7 @@ def sql_features(docs: str = "documents") -> str:
 
 @register(Q, f"SELECT doc_id, CAST(words AS BIGINT) AS words, dialogue_ratio, agency, conflict, interiority, channels, sentence_mean, sentence_deviation FROM {sql_features()}")
 def scene_features(spark, sf):
-    f = S.scene_features(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    f = S.scene_features(table(spark, sf, "documents"), "doc_id", "text", LEXICON).withColumnRenamed("id", "doc_id")
     return f.select("doc_id", F.col("words").cast("long").alias("words"), "dialogue_ratio", "agency", "conflict", "interiority", "channels", "sentence_mean", "sentence_deviation")
 
 

@@ -137,7 +137,7 @@ WINDOWS = f"""SELECT doc_id, s AS start, len(t[s + 1:s + 200]) AS n FROM (SELECT
 
 @register(Q, WINDOWS)
 def sliding_windows(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", F.explode(X.windows(tokenize(F.col("text")), 200, 100, 8)).alias("w"))
+    w = table(spark, sf, "documents").select("doc_id", tokenize(F.col("text")).alias("toks")).select("doc_id", F.explode(X.windows(F.col("toks"), 200, 100, 8)).alias("w"))
     return w.select("doc_id", F.col("w.start").cast("long").alias("start"), F.size("w.toks").cast("long").alias("n"))
 
 

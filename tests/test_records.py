@@ -11,8 +11,10 @@ def test_merge_layers(spark):
     rows = [("base", None, "1", "noir", ["a", "b"]), ("mid", "base", "1", " ", ["b", "c"]), ("leaf", "mid", "1", None, None), ("own", "mid", "1", "comedy", ["a", "d"])]
     got = {r["profile"]: (r["depth"], r["genre"], r["tags"]) for r in R.merge_layers(spark.createDataFrame(rows, LAYERS), ("genre",), ("tags",)).collect()}
     assert got == {"base": (1, "noir", ["a", "b"]), "mid": (2, "noir", ["a", "b", "c"]), "leaf": (3, "noir", ["a", "b", "c"]), "own": (3, "comedy", ["a", "b", "c", "d"])}
-    with pytest.raises(ValueError, match="cycle"):
-        R.merge_layers(spark.createDataFrame([("a", "b", "1", "", []), ("b", "a", "1", "", [])], LAYERS), ("genre",), ("tags",), most=4)
+    with pytest.raises(Exception, match="cycle"):
+        R.merge_layers(spark.createDataFrame([("a", "b", "1", "", []), ("b", "a", "1", "", [])], LAYERS), ("genre",), ("tags",)).collect()
+    deep = spark.createDataFrame([("0", None, "1", "noir", ["t0"]), *[(str(i), str(i - 1), "1", None, [f"t{i}"]) for i in range(1, 25)]], LAYERS)
+    assert next((r["depth"], r["genre"], len(r["tags"])) for r in R.merge_layers(deep, ("genre",), ("tags",)).collect() if r["profile"] == "24") == (25, "noir", 25)
     for bad, said in ([("a", "nowhere", "1", "", [])], "unknown base"), ([("a", None, "1", "", []), ("b", "a", "2", "", [])], "versions"):
         with pytest.raises(Exception, match=said):
             R.merge_layers(spark.createDataFrame(bad, LAYERS), ("genre",), ("tags",)).collect()
