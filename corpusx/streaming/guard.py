@@ -1,62 +1,131 @@
 """A guard on streams of text deltas: the first forbidden n-gram of each stream, as soon as its last
-word is complete."""
+word is complete.
+
+The state of a stream is its last words, the part of a word that may go on, deltas that came too early, and whether it is closed. A small
+index of forbidden n-grams is broadcast as 64-bit hashes, which tell its n-grams apart; a large one is never held by a worker: the n-grams that a
+micro-batch completes are joined to it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusx.functions.text import WORD
 
-#: n-grams of the index that are held by every worker; a larger index is refused.
+#: n-grams of an index that is broadcast (8 bytes each to every worker); a larger one is joined batch by batch.
 MOST_GRAMS = 5_000_000
+STATE = "tail string, words array<string>, before long, closed boolean, next long, early array<struct<seq:long,delta:string>>"
+FRESH = ("", [], 0, False, 0, [])
+#: Fixed value: the seed of Spark's xxhash64.
+SEED = 42
 
 
-def ngram_guard(deltas: DataFrame, index: DataFrame, n: int = 12) -> DataFrame:
-    """Stream (stream_id, seq, delta) to (stream_id, word_pos, gram): the first n-gram of ``index`` (gram) that a
-    stream completes, once; what follows in that stream is ignored.
+def fold(w: str) -> str:
+    return w.lower().replace("ß", "ss").replace("’", "'")
 
-    A word is complete when something that can't belong to it follows, in the same delta or a later one; deltas
-    must arrive in order of ``seq`` from one micro-batch to the next and are sorted inside one. The state of a
-    stream is its last n - 1 words, the word that may go on and the number of words before.
-    """
-    if (size := index.select("gram").distinct().count()) > MOST_GRAMS:
-        raise ValueError(f"the index has {size} n-grams, more than {MOST_GRAMS}")
-    forbidden = deltas.sparkSession.sparkContext.broadcast(frozenset(r["gram"] for r in index.select("gram").distinct().toLocalIterator()))
-    word = regex.compile(WORD)
+
+def completed(deltas: DataFrame, n: int, hashes, ordered: bool, idle: int | None) -> DataFrame:
+    """(stream_id, word_pos, gram) of n-grams as streams complete them: all of them, or, with the broadcast ``hashes``, the
+    first whose hash is among them, after which a stream is closed."""
+    word, goes_on = regex.compile(WORD), regex.compile(r"[\p{L}\p{N}_’'-]*")
     kind = deltas.schema["stream_id"].dataType.simpleString()
 
-    def fold(w: str) -> str:
-        return w.lower().replace("ß", "ss").replace("’", "'")
+    def known(gram: str) -> bool:
+        if hashes is None:
+            return True
+        h = np.uint64(xxhash.xxh64_intdigest(gram.encode(), SEED)).view(np.int64)
+        i = int(np.searchsorted(hashes.value, h))
+        return i < len(hashes.value) and hashes.value[i] == h
+
+    def in_turn(early: list, new: list, due: int, flush: bool) -> tuple[list[str], list, int]:
+        """Deltas whose turn it is, those that wait for an earlier one, and the next number."""
+        rows = sorted([*early, *new], key=lambda r: r[0])
+        if not ordered or flush:
+            return [d for _, d in rows], [], due
+        ready, wait = [], []
+        for seq, delta in rows:
+            if seq == due:
+                ready.append(delta)
+                due += 1
+            elif seq > due:
+                wait.append((seq, delta))
+        return ready, wait, due
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, words, before, closed = state.get if state.exists else ("", [], 0, False)
-        words = list(words)
-        new = pd.concat(list(batches)).sort_values("seq")
-        if closed:
-            return
-        text, at = tail + "".join(x or "" for x in new["delta"]), 0
-        for m in word.finditer(text):
+        tail, words, before, closed, due, early = state.get if state.exists else FRESH
+        new = [] if state.hasTimedOut else [(int(s), d or "") for b in batches for s, d in zip(b["seq"], b["delta"], strict=True)]
+        ready, early, due = in_turn([(r[0], r[1]) for r in early], new, due, state.hasTimedOut)
+        found, words, text, at = [], list(words), tail + "".join(ready), 0
+        for m in word.finditer("" if closed else text):
             # a mark or letter right behind may still belong to the word
-            if regex.fullmatch(r"[\p{L}\p{N}_’'-]*", text[m.end() :]):
+            if goes_on.match(text, m.end()).end() == len(text):
                 break
             at = m.end()
             words.append(fold(m[0]))
             before += 1
-            if len(words) == n and " ".join(words) in forbidden.value:
-                state.update(("", [], before, True))
-                yield pd.DataFrame({"stream_id": [key[0]], "word_pos": [before - n], "gram": [" ".join(words)]})
-                return
+            if len(words) == n and known(gram := " ".join(words)):
+                found.append((before - n, gram))
+                if hashes is not None:
+                    closed = True
+                    break
             words = words[-(n - 1) :] if n > 1 else []
-        state.update((text[at:], words, before, False))
+        if found:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(found), "word_pos": [p for p, _ in found], "gram": [g for _, g in found]})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        state.update(("", [], before, True, due, []) if closed else (text[at:], words, before, False, due, early))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return deltas.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, word_pos long, gram string", STATE, "append", timeout)
+
+
+def ngram_guard(deltas: DataFrame, index: DataFrame, n: int = 12, ordered: bool = False, idle: int | None = None) -> DataFrame:
+    """Stream (stream_id, seq, delta) to (stream_id, word_pos, gram): the first n-gram of ``index`` (gram) that a
+    stream completes, once; what follows in that stream is ignored. An index over ``MOST_GRAMS`` is for ``guard_into``.
+
+    A word is complete when something that can't belong to it follows, in the same delta or a later one. Deltas of a micro-batch
+    are taken in order of ``seq``; with ``ordered`` they are numbered from 0 without gaps, one that comes before its turn, in whatever
+    micro-batch, waits in the state, and one that comes again is ignored. idle: milliseconds without deltas after which a stream's state goes;
+    deltas that still wait then are read as they are. Without it, state stays for ever. It is for queries that go on: a drain with the trigger
+    availableNow would not end before the last time-out.
+    """
+    grams = index.select("gram").distinct()
+    if (size := grams.count()) > MOST_GRAMS:
+        raise ValueError(f"the index has {size} n-grams, more than {MOST_GRAMS}: use guard_into")
+    hashes = np.sort(grams.select(F.xxhash64("gram").alias("h")).toArrow()["h"].to_numpy().astype(np.int64))
+    shared = deltas.sparkSession.sparkContext.broadcast(hashes)
+    return completed(deltas, n, shared, ordered, idle)
+
+
+def guard_into(deltas: DataFrame, index: DataFrame, path: str, checkpoint: str, n: int = 12, ordered: bool = False, idle: int | None = None) -> None:
+    """Drain ``deltas`` into a table at ``path`` as ``ngram_guard`` does, with an index of any size: the n-grams that a micro-batch completes are
+    joined to it, and of a stream that isn't in the table yet the first match is added. A batch that is run again adds nothing twice."""
+    grams = index.select("gram").distinct()
+    found = completed(deltas, n, None, ordered, idle)
+    schema = found.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        first = batch.join(grams, "gram").groupBy("stream_id").agg(F.min(F.struct("word_pos", "gram")).alias("m")).select("stream_id", "m.*")
+        if there:
+            done = spark.read.schema(schema).parquet(path).select(F.col("stream_id").alias("k"))
+            first = first.join(done, F.col("stream_id").eqNullSafe(F.col("k")), "left_anti")
+        first.write.mode("append").parquet(path)
 
-    return deltas.groupBy("stream_id").applyInPandasWithState(
-        run, f"stream_id {kind}, word_pos long, gram string", "tail string, words array<string>, before long, closed boolean", "append", GroupStateTimeout.NoTimeout)
+    found.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def deltas_of(docs: DataFrame, id_col: str, text_col: str, size: int = 400) -> DataFrame:

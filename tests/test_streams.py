@@ -2,9 +2,13 @@
 
 import glob
 import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusx.streaming import guard as guard_module
+from corpusx.streaming.guard import guard_into, ngram_guard
 from corpusx.streaming.latest import keep_latest, read_latest
 
 SCHEMA = "k long, at int, status string, v string"
@@ -41,3 +45,53 @@ def test_latest_rewrites_only_buckets_of_changed_keys(spark, tmp_path):
     assert gone and gone <= touched and all(after[f] == t for f, t in before.items() if f.split("/")[-2] not in touched)
     drain()
     assert files(out) == after
+
+
+TEXTS = {1: "one two three four five six", 2: "nothing of the kind here", 3: "x one two thr ee four", 4: "zero two three four five one two three four", 5: ""}
+INDEX = ["two three four five", "one two three four", "kind here never ends"]
+
+
+def drained(spark, tmp_path, parts, guard):
+    """What the guard finds when deltas arrive in the given micro-batches."""
+    log = str(tmp_path / "deltas")
+    index = spark.createDataFrame([(g,) for g in INDEX], "gram string")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "stream_id long, seq int, delta string").coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema("stream_id long, seq int, delta string").parquet(log)
+        guard(stream, index)
+    return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "found")).select("stream_id", "word_pos", "gram").collect())
+
+
+WANT = [(1, 0, "one two three four"), (4, 1, "two three four five")]
+
+
+def test_guard_takes_deltas_in_turn_over_micro_batches(spark, tmp_path):
+    rows = [(i, n, t) for i, text in TEXTS.items() for n, t in enumerate([(text + "\n")[k : k + 4] for k in range(0, len(text) + 1, 4)])]
+    odd, even = [r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2]
+
+    def guard(stream, index):
+        q = ngram_guard(stream, index, 4, ordered=True).writeStream.format("parquet").option("path", str(tmp_path / "found"))
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    assert drained(spark, tmp_path, [odd, even, even], guard) == WANT  # the even ones come late, and then again
+
+
+def test_guard_with_an_index_of_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(guard_module, "MOST_GRAMS", 1)
+    rows = [(i, n, t) for i, text in TEXTS.items() for n, t in enumerate([(text + "\n")[k : k + 5] for k in range(0, len(text) + 1, 5)])]
+    with pytest.raises(ValueError, match="guard_into"):
+        ngram_guard(spark.createDataFrame(rows, "stream_id long, seq int, delta string"), spark.createDataFrame([(g,) for g in INDEX], "gram string"), 4)
+    into = lambda stream, index: guard_into(stream, index, str(tmp_path / "found"), str(tmp_path / "state"), 4)
+    assert drained(spark, tmp_path, [rows[: len(rows) // 2], rows[len(rows) // 2 :], [(1, 9, "one two three four ")]], into) == WANT
+
+
+def test_guard_reads_long_deltas_in_linear_time(spark, tmp_path):
+    rows = [(1, 0, "some word " * 200_000 + "one two three four "), (2, 0, "a" * 200_000)]
+
+    def guard(stream, index):
+        q = ngram_guard(stream, index, 4).writeStream.format("parquet").option("path", str(tmp_path / "found"))
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    began = time.time()
+    assert drained(spark, tmp_path, [rows], guard) == [(1, 400_000, "one two three four")]
+    assert time.time() - began < 60
