@@ -21,6 +21,11 @@ WORDS = regex.compile(WORD)
 UNIT = regex.compile(r"[^\n]*?(?:[.!?][\"”’]?(?:[ \n]|\Z)|\n|\Z)")
 
 
+def folded(word: str) -> str:
+    """A word as ``tokenize`` gives it."""
+    return word.lower().replace("ß", "ss").replace("’", "'")
+
+
 def spans_of(docs: DataFrame, id_col: str, text_col: str, fields: str, find: Callable[[str], Iterator[tuple]]) -> DataFrame:
     """(id, *fields): a row for every tuple that ``find`` gives for the text of a row; null is empty.
 

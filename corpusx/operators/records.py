@@ -74,3 +74,12 @@ def merge_layers(layers: DataFrame, scalars: Sequence[str], lists: Sequence[str]
     nearest = lambda c: F.coalesce(F.get(F.filter("chain", lambda x: F.length(F.trim(x[c])) > 0), F.lit(0))[c], F.lit(""))
     union = lambda c: F.array_distinct(F.flatten(F.transform(F.reverse("chain"), lambda x: F.coalesce(x[c], F.array().cast("array<string>")))))
     return done.withColumn("chain", chain).select("profile", F.size("chain").alias("depth"), *[nearest(c).alias(c) for c in scalars], *[union(c).alias(c) for c in lists])
+
+
+def provenance_gate(docs: DataFrame, registered: DataFrame, id_col: str, text_col: str, keys: Sequence[str]) -> DataFrame:
+    """(id, observed, passed): the hash of a text, null if it is empty, and whether it equals the one that is ``registered`` (keys, expected) for its
+    keys. A text that nothing is registered for, a null key and an empty text fail; of several registered hashes one has to match."""
+    seen = F.when(F.length(text_col) > 0, F.sha2(F.col(text_col).cast("binary"), 256))
+    r = registered.groupBy(*keys).agg(F.collect_set("expected").alias("__expected"))
+    j = docs.select(F.col(id_col), *keys, seen.alias("observed")).join(r, list(keys), "left")
+    return j.select(id_col, "observed", F.coalesce(F.array_contains("__expected", F.col("observed")), F.lit(False)).alias("passed"))

@@ -13,6 +13,7 @@ from corpusx.functions.text import sql_tokens, sql_uniform, tokenize, uniform
 from corpusx.operators import shape as S
 from corpusx.plans.provenance_queries import PARENTS, closure, parents
 from corpusx.plans.shaping import COUNTS, RULES
+from corpusx.operators import records as P
 from corpusx.plans.tables import register, table
 from corpusx.scratch import Scratch
 
@@ -89,12 +90,13 @@ def revalidate_stale(spark, sf):
     return S.rule_counts(stale, RULES).withColumn("version", F.lit(2))
 
 
-@register(Q, "SELECT doc_id, sha256(text) AS observed, coalesce(text <> '' AND sha256(text) = sha256(substr(text, 1, n_chars)) AND length(text) = n_chars, false) AS passed FROM documents")
+@register(Q, """SELECT doc_id, p.observed, p.observed IS NOT NULL AND p.observed = d.expected AS passed FROM (SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS observed FROM documents) p
+  LEFT JOIN (SELECT source, lang, arg_min(sha256(text), doc_id) AS expected FROM documents WHERE text <> '' GROUP BY source, lang) d ON d.source = (SELECT source FROM documents x WHERE x.doc_id = p.doc_id) AND d.lang = (SELECT lang FROM documents x WHERE x.doc_id = p.doc_id)""")
 def provenance_gate(spark, sf):
-    """The text is there and hashes to what its recorded extent says."""
-    seen = F.sha2("text", 256)
-    same = (F.col("text") != "") & (seen == F.sha2(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int")), 256)) & (F.length("text") == F.col("n_chars"))
-    return table(spark, sf, "documents").select("doc_id", seen.alias("observed"), F.coalesce(same, F.lit(False)).alias("passed"))
+    """Whether a text is the one registered for its source and language: the hash of the first document of both."""
+    d = table(spark, sf, "documents")
+    registered = d.where("text <> ''").groupBy("source", "lang").agg(F.min_by(F.sha2("text", 256), "doc_id").alias("expected"))
+    return P.provenance_gate(d, registered, "doc_id", "text", ["source", "lang"])
 
 
 PREVENTED = r"(?:no|not|never)(?:[^A-Za-z0-9]+[A-Za-z0-9]+){0,9}[^A-Za-z0-9]+password"

@@ -12,6 +12,7 @@ from corpusx.operators.ranking import bm25_scores
 from corpusx.operators.ranking import bm25_top as top_k
 from corpusx.plans.sections import sql_features
 from corpusx.plans.tables import register, table
+from corpusx.scratch import Scratch
 
 Q: dict = {}
 
@@ -58,22 +59,37 @@ def facet_filter(spark, sf):
 DESIRED = (0.28, 0.022, 0.014, 0.010, 0.8, 0.6, 0.55)
 VECTOR = "[dialogue_ratio, agency, conflict, interiority, channels / 5, least(sentence_mean / 30, 1.0), least(sentence_deviation / 20, 1.0)]"
 WANTED = f"[{', '.join(f'CAST({x} AS DOUBLE)' for x in DESIRED)}]"
-HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 4) + 0.20 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.27 * geometry + 0.07 * greatest(0, 1 - abs(words - 750) / 850), 4) AS score FROM (
-  SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {BM25} WINDOW w AS (PARTITION BY query_id)) JOIN documents USING (doc_id) JOIN (
+#: The level of a document is how many of these lengths it reaches; those below ``LEAST_HEAT`` are not retrieved, ``HEAT`` is asked for.
+LENGTHS, HEAT, LEAST_HEAT = (600, 1500, 4000), 2, 1
+LEVEL = f"({' + '.join(f'CASE WHEN length(text) >= {n} THEN 1 ELSE 0 END' for n in LENGTHS)})"
+HYBRID = f"""(SELECT query_id, doc_id, round(0.28 * coalesce(round(CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 4), 0) + 0.20 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.27 * geometry + 0.07 * greatest(0, 1 - abs(words - 750) / 850) + 0.18 / (1.0 + abs({LEVEL} - {HEAT})), 4) AS score
+  FROM (SELECT item_id AS query_id FROM benchmark) CROSS JOIN documents LEFT JOIN (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {BM25} WINDOW w AS (PARTITION BY query_id)) USING (query_id, doc_id) JOIN (
   SELECT doc_id, words, round(CASE WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 0 ELSE list_inner_product(v, {WANTED}) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product({WANTED}, {WANTED}))) END, 4) AS geometry
-  FROM (SELECT doc_id, words, list_transform({VECTOR}, lambda x: CAST(x AS DOUBLE)) AS v FROM {sql_features()})) USING (doc_id))"""
+  FROM (SELECT doc_id, words, list_transform({VECTOR}, lambda x: CAST(x AS DOUBLE)) AS v FROM {sql_features()})) USING (doc_id) WHERE {LEVEL} >= {LEAST_HEAT})"""
 
 
-def hybrid(spark, sf):
-    """0.28 lexical + 0.20 facet + 0.27 geometry (cosine of a document's features and the desired ones) + 0.07 size."""
+def hybrid(spark, sf, k: int = 10):
+    """(query_id, doc_id, score): 0.28 lexical + 0.20 facet + 0.27 geometry (cosine of a document's features and the desired ones) + 0.07 size + 0.18 heat
+    (nearness of the level), for documents of the least level or more with a lexical hit, and for the ``k`` best of all without regard to words.
+
+    Nothing but the lexical part depends on the query and it is never negative, so a document without a hit that is among the k best of a
+    query is among the k best by the rest: no other needs to meet the queries.
+    """
+    scratch = Scratch(spark, "hybrid")
     d = table(spark, sf, "documents")
     made = S.scene_features(d, "doc_id", "text", LEXICON).select(F.col("id").alias("doc_id"), "words", F.round(S.cosine(F.col("vector"), F.array(*map(F.lit, DESIRED))), 4).alias("geometry"))
-    s = ranked(spark, sf)
+    level = sum((F.coalesce(F.length("text"), F.lit(0)) >= n).cast("int") for n in LENGTHS)
+    own = d.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), level.alias("level")).where(F.col("level") >= LEAST_HEAT).join(made, "doc_id")
+    rest = 0.20 * (F.col("lang") == "en").cast("int") + 0.27 * F.col("geometry") + 0.07 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("words") - 750) / 850) + 0.18 / (1.0 + F.abs(F.col("level") - HEAT))
+    own = scratch.keep(own.select("doc_id", rest.alias("rest")), "own")
+    s = scratch.keep(ranked(spark, sf), "scores")
     ends = s.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     lexical = F.round(F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 4)
-    total = 0.28 * lexical + 0.20 * (F.col("lang") == "en").cast("int") + 0.27 * F.col("geometry") + 0.07 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("words") - 750) / 850)
-    j = s.join(ends, "query_id").join(d.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id").join(made, "doc_id")
-    return j.select("query_id", "doc_id", F.round(total, 4).alias("score"))
+    hits = s.join(ends, "query_id").join(own, "doc_id").select("query_id", "doc_id", F.round(0.28 * lexical + F.col("rest"), 4).alias("score"))
+    top = own.select("doc_id", F.round("rest", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k).agg(F.collect_list(F.struct("doc_id", "score")).alias("top"))  # k documents in one row
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    others = queries.join(F.broadcast(top)).select("query_id", F.explode("top").alias("t")).select("query_id", "t.*").join(s.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return hits.unionByName(others.select("query_id", "doc_id", "score"))
 
 
 @register(Q, f"SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {HYBRID}) WHERE rank <= 10")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusx.functions.spans import folded
 from corpusx.functions.text import WORD
 
 #: n-grams of an index that is broadcast (8 bytes each to every worker); a larger one is joined batch by batch.
@@ -28,10 +29,6 @@ FRESH = ("", [], 0, False, 0, [])
 SEED = 42
 
 
-def fold(w: str) -> str:
-    return w.lower().replace("ß", "ss").replace("’", "'")
-
-
 def completed(deltas: DataFrame, n: int, hashes, ordered: bool, idle: int | None) -> DataFrame:
     """(stream_id, word_pos, gram) of n-grams as streams complete them: all of them, or, with the broadcast ``hashes``, the
     first whose hash is among them, after which a stream is closed."""
@@ -69,7 +66,7 @@ def completed(deltas: DataFrame, n: int, hashes, ordered: bool, idle: int | None
             if goes_on.match(text, m.end()).end() == len(text):
                 break
             at = m.end()
-            words.append(fold(m[0]))
+            words.append(folded(m[0]))
             before += 1
             if len(words) == n and known(gram := " ".join(words)):
                 found.append((before - n, gram))
