@@ -62,10 +62,11 @@ def ordered_pattern_gate(spark, sf):
     return d.select("doc_id", found.alias("all_found"), F.when(found, F.round((F.col("b") - 1) / F.length("text"), 6)).alias("fraction"))
 
 
-@register(Q, f"SELECT doc_id, term, count(*) AS hits FROM (SELECT doc_id, unnest({TOKS}) AS term FROM documents) JOIN (SELECT DISTINCT ({TOKS})[1] AS term FROM benchmark) USING (term) GROUP BY ALL")
+@register(Q, f"SELECT doc_id, term, count(*) AS hits FROM (SELECT doc_id, unnest({TOKS}) AS term FROM documents) JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{Lu}}][\\p{{L}}]{{2,}}'))) AS term FROM benchmark) USING (term) GROUP BY ALL")
 def identity_leak_scan(spark, sf):
-    """Words of a text that are on a list of identities (here: the first words of passages): a join on the word."""
-    names = table(spark, sf, "benchmark").select(F.get(tokenize(F.col("text")), 0).alias("term")).distinct()
+    """Words of a text that are on a list of identities, here all capitalised words of the passages: a join on the word."""
+    named = F.regexp_extract_all("text", F.lit(r"[\p{Lu}][\p{L}]{2,}"), F.lit(0))
+    names = table(spark, sf, "benchmark").select(F.explode(named).alias("name")).select(F.lower("name").alias("term")).distinct()
     words = table(spark, sf, "documents").select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
     return words.join(names, "term").groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
 

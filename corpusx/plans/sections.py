@@ -42,11 +42,17 @@ def best_excerpt(spark, sf):
 CUE = r"(?i)\b(?:which meant|meaning|in other words|the point was|understood|realized|en|the|la)\b"
 
 
-@register(Q, f"""SELECT doc_id AS id, n_quotes, n_glossed, CASE WHEN n_quotes > 0 THEN round(100 * n_glossed / n_quotes, 4) ELSE 0.0 END AS per_100 FROM (
-  SELECT doc_id, len(after) AS n_quotes, len(list_filter(after, lambda a: regexp_matches(substr(a, 1, 320), '{CUE}'))) AS n_glossed FROM (
-    SELECT doc_id, string_split_regex(coalesce(text, ''), '["“]([^"”]*)["”]')[2:] AS after FROM documents))""")
+def content(x: str) -> str:
+    """SQL text: distinct words of four characters or more, less two stop words."""
+    return "list_distinct(list_filter(" + sql_tokens(x).replace("lambda x:", "lambda y:").replace("lower(x)", "lower(y)") + ", lambda w: length(w) >= 4 AND w NOT IN ('that', 'with')))"
+
+
+@register(Q, f"""SELECT doc_id AS id, n_quotes, n_glossed, CASE WHEN n_quotes > 0 THEN round(100 * n_glossed / n_quotes, 4) ELSE 0.0 END AS per_100, CAST(coalesce(n_shared, 0) AS BIGINT) AS n_shared FROM (
+  SELECT doc_id, len(after) AS n_quotes, len(g) AS n_glossed, list_sum(list_transform(g, lambda p: len(list_intersect({content('p[1]')}, {content('p[2]')})))) AS n_shared FROM (
+    SELECT doc_id, after, list_filter(list_transform(range(1, len(after) + 1), lambda i: [said[i], substr(after[i], 1, 320)]), lambda p: regexp_matches(p[2], '{CUE}')) AS g FROM (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '["“]([^"”]*)["”]', 1) AS said, string_split_regex(coalesce(text, ''), '["“]([^"”]*)["”]')[2:] AS after FROM documents)))""")
 def gloss_after_quote(spark, sf):
-    return S.gloss_after_quote(table(spark, sf, "documents"), "doc_id", "text", CUE)
+    return S.gloss_after_quote(table(spark, sf, "documents"), "doc_id", "text", CUE, stop=("that", "with"))
 
 
 def sql_features(docs: str = "documents") -> str:
@@ -69,7 +75,7 @@ def scene_features(spark, sf):
     return f.select("doc_id", F.col("words").cast("long").alias("words"), "dialogue_ratio", "agency", "conflict", "interiority", "channels", "sentence_mean", "sentence_deviation")
 
 
-LINES = "(SELECT doc_id, source, i, l[i] AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), range(1, 7) r(i) WHERE i <= len(l) AND regexp_matches(l[i], '^[A-Za-z]'))"
+LINES = "(SELECT doc_id, source, i, l[i] AS line FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(l[i], '^[A-Za-z]'))"
 
 
 @register(Q, f"""SELECT doc_id AS id, CAST(i AS INTEGER) AS number, coalesce(source, 'Unknown') AS work, CASE WHEN source LIKE '%web%' THEN 'holdout' ELSE 'profiling' END AS part, md5(regexp_replace(rtrim(line, ' '), '^ +', '')) AS digest,
@@ -85,9 +91,9 @@ def numbered_sections(spark, sf):
 
 @register(Q, f"""SELECT concat_ws('.', doc_id, 7, n) AS id, CAST(n AS INTEGER) AS number, md5(rtrim(line, ' ')) AS premise, md5(rtrim('so ' || line, ' ')) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM {LINES}) WHERE i % 3 <> 0""")
 def split_proposals(spark, sf):
-    """The first six lines of a document as the premises of proposals; every third has no turn and is dropped."""
+    """The lines of a document as the premises of proposals; every third has no turn and is dropped."""
     d = table(spark, sf, "documents")
-    made = F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x, i: F.when(x.rlike("^[A-Za-z]"), F.concat(F.lit("Proposal\nPremise: "), x, F.when((i + 1) % 3 == 0, "\n").otherwise(F.concat(F.lit("\nTurn: so "), x, F.lit("\n"))))).otherwise(""))
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike("^[A-Za-z]"), F.concat(F.lit("Proposal\nPremise: "), x, F.when((i + 1) % 3 == 0, "\n").otherwise(F.concat(F.lit("\nTurn: so "), x, F.lit("\n"))))).otherwise(""))
     t = d.select("doc_id", F.lit(7).alias("seed"), F.array_join(made, "").alias("text"))
     got = S.split_proposals(t, ("doc_id", "seed"), "text", "Proposal\\n", ("Premise", "Turn"), ("Premise", "Turn"))
     return got.select("id", "number", F.md5(F.col("fields")["Premise"]).alias("premise"), F.md5(F.col("fields")["Turn"]).alias("turn"))
