@@ -30,7 +30,8 @@ from corpusx.scratch import small_batches
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 150_000
+#: Pre-tokens of each half of the memo: the half that fills and the one that was full before it.
+MEMO = 200_000
 #: Code points of a pre-token that is remembered at all, so that the memo is bounded in bytes too.
 MEMO_LENGTH = 64
 _LOADED: dict[str, Codec] = {}
@@ -71,7 +72,7 @@ class Codec:
         for b, i in id_of.items():
             self.tokens.add_word(b.decode("latin-1"), (len(b), i))
         self.tokens.make_automaton()
-        self.id_of, self.fits_memo, self.memo = id_of, {}, {}
+        self.id_of, self.fits_memo, self.memo, self.older = id_of, {}, {}, {}
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pretoken = regex.compile(PRETOKEN)
@@ -147,10 +148,13 @@ class Codec:
             for p in self.pretoken.findall(part):
                 ids = memo.get(p)
                 if ids is None:
-                    ids = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
+                    ids = self.older.get(p)
+                    if ids is None:
+                        ids = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
                     if len(p) <= MEMO_LENGTH:
-                        if len(memo) >= MEMO:
-                            memo.clear()
+                        if len(memo) >= MEMO:  # what is asked for again comes back from the older half
+                            self.older, self.memo = memo, {}
+                            memo = self.memo
                         memo[p] = ids
                 out.append(ids)
         return b"".join(out)

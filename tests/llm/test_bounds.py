@@ -63,3 +63,12 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {i: 100 for i in range(100, 141)} | {x: 3 for x in (3, 5, 9, 50)} | {x: 200 for x in range(200, 230)}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_the_encoders_memo_is_bounded_and_changes_nothing(monkeypatch):
+    whole = bpe.Codec(PATH)
+    monkeypatch.setattr(bpe, "MEMO", 4)
+    small = bpe.Codec(PATH)
+    texts = [f"word{i % 7} the été {i % 3}!! " * 2 for i in range(40)]
+    assert [small.encode(t) for t in texts] == [whole.encode(t) for t in texts]
+    assert len(small.memo) <= 4 and len(small.older) <= 4
