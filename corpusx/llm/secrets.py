@@ -9,7 +9,8 @@ shuffled and a lost task rebuilds only its own block.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points, end
 exclusive; a rule's matches are leftmost and don't overlap, and those that fail its size condition
-are dropped without another try; rows that repeat give repeated results.
+are dropped without another try; rows that repeat give repeated results; a very long text is verified whole, each expression passing it
+once; a table without rows gives none.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ frequency) rows of the block and summed per document. Blocks are what a task rea
 nothing is shuffled; counts stay in a bounded memo of the worker between blocks.
 
 Defined cases: a null text counts as empty and has 0 tokens; strings of added tokens count as those
-tokens, as the library does by default; only the named columns are read.
+tokens, as the library does by default; a very long text is a block of its own and is held whole; rows that repeat an id give a row
+each; a table without rows gives none; only the named columns are read.
 """
 
 from __future__ import annotations
