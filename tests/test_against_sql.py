@@ -20,3 +20,22 @@ def test_a_cue_ends_where_a_word_ends(spark, tmp_path):
     texts = ['"a" enü', '"a" üen', '"a" En.', '"a" x\nla\n', '"a" la_', '"a" the9', '"a" éla "b" the', '"a" underſtood', None]
     got, want = both(spark, tmp_path, "gloss_after_quote", documents=([*enumerate(texts)], "doc_id long, text string"))
     assert got == want and [r[2] for r in got] == [0, 0, 1, 1, 0, 0, 1, 1, 0]
+
+
+def test_scores_are_not_shuffled(spark, tmp_path):
+    """hybrid_score and bm25 with copies of equal score, texts without words, an empty query and several blocks."""
+    from corpusx.operators import batched
+
+    docs = [(i, f"word{i % 7} drum {'echo ' * (i % 5)}{'x ' * (300 * (i % 3))}" if i % 11 else None, "en" if i % 2 else None) for i in range(90)]
+    passages = [(1, "word1 echo drum"), (2, "word2 word3 echo"), (3, "zz of"), (4, None)]
+    tables = {"documents": ([(i, t, g, len(t or "")) for i, t, g in docs], "doc_id long, text string, lang string, n_chars long"), "benchmark": (passages, "item_id long, text string")}
+    before, batched.BLOCK = batched.BLOCK, 2
+    try:
+        for query in ("hybrid_score", "bm25"):
+            folder = tmp_path / query
+            got, want = both(spark, folder, query, **tables)
+            assert got == want and got
+        plan = entry.queries()["bm25"](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" not in plan
+    finally:
+        batched.BLOCK = before
