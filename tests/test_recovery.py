@@ -162,3 +162,30 @@ def test_quotes_voices_and_cadence(spark):
     c = voices.cadence_families(docs, {"f": ["come here", "here now"], "g": ["here now", "o"]}, 2).collect()
     assert {(r["id"], r["family"]): (r["hits"], r["evidence"]) for r in c if r["id"] == 1} == {(1, "f"): (1, ["come here"]), (1, "g"): (6, ["o", "here now"])}
     assert all(r["hits"] == 0 and r["evidence"] == [] for r in c if r["id"] != 1) and len(c) == 6
+
+
+def test_ordinal_scores_are_made_in_arrays(spark, monkeypatch):
+    rng = random.Random(6)
+    pick = lambda n: rng.sample(["go", "ask", "run", "sea", "old", "red"], rng.randrange(n))
+    rows = [(i, rng.choice([0, 1, 2, 3, None]), rng.choice(["m0", "m1", None]), pick(5), pick(3), pick(3), rng.random(), rng.random(), 1.0, rng.random()) for i in range(40)]
+    rows += [(i + 100, *r[1:]) for i, r in enumerate(rows[:10] * 3)]  # copies: ties go to the least id
+    fields = "passage long, ordinal int, mode string, terms array<string>, card_terms array<string>, card_acts array<string>, dialogue double, agency double, humor double, boundary double"
+    cells = [(c, c % 4, rng.choice(["m0", "m1", "m7", None]), pick(6), pick(3)) for c in range(12)] + [(50, 1, None, None, None)]
+    bands = {0: (0, 0, []), 1: (1, 2, ["m0"]), 2: (1, 3, [])}
+    given = spark.createDataFrame(cells, "cell long, ordinal int, mode string, wanted array<string>, acts array<string>")
+    b = spark.createDataFrame([(o, lo, hi, x or None) for o, (lo, hi, x) in bands.items()], "ordinal int, lo int, hi int, barred array<string>")
+    monkeypatch.setattr(ordinal, "CELLS", 40)
+    found = ordinal.ordinal_retrieval(given, spark.createDataFrame(rows, fields), b, 3)
+    got = {(r["cell"], r["rank"]): (r["passage"], r["score"]) for r in found.collect()}
+    share = lambda a, held: len(set(a or ()) & set(held)) / max(1, len(a or ()))
+    want = {}
+    for c, o, mode, wanted, acts in cells:
+        if o not in bands:
+            continue
+        lo, hi, barred = bands[o]
+        scored = [(-round(0.10 * share(wanted, t) + 0.20 * share(wanted, k) + 0.18 * (1 if m == mode else 0.35) + 0.18 / (1 + abs(o - level)) + 0.09 * d + 0.10 * a + 0.05 * share(acts, x) + 0.04 * h + 0.06 * e, 6), p)
+                  for p, level, m, t, k, x, d, a, h, e in rows if level is not None and lo <= level <= hi and m not in barred]
+        want |= {(c, n): (p, pytest.approx(-s, abs=2e-6)) for n, (s, p) in enumerate(sorted(scored)[:3], 1)}
+    assert got == want and want
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is a row of a join
+    assert ordinal.ordinal_retrieval(given.where("cell > 99"), spark.createDataFrame(rows, fields), b, 3).isEmpty()
