@@ -39,3 +39,16 @@ def test_scores_are_not_shuffled(spark, tmp_path):
         assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" not in plan
     finally:
         batched.BLOCK = before
+
+
+def test_prior_overlap_of_copies_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """Copies, rows of one id, a null id, and lists that are dealt out in pieces."""
+    from corpusx.operators import overlap
+
+    passage, other = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(20))
+    texts = [passage, passage, f"x {passage} y", other, f"{passage} {other}", " ".join(f"p{i}" for i in range(5, 30)), passage, None, "short"]
+    docs = [*enumerate(texts), (3, passage), (4, passage), (None, passage), (9, other), (9, other)]
+    for piece in (2_000, 1):
+        monkeypatch.setattr(overlap, "PIECE", piece)
+        got, want = both(spark, tmp_path / str(piece), "prior_overlap", documents=(docs, "doc_id long, text string"))
+        assert got == want and len(got) > 20
