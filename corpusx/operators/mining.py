@@ -1,7 +1,7 @@
 """Spans worth keeping from texts that failed as a whole, and spans derived again after a change of rules.
 
-Windows and prefixes are found in the row of their text (``functions.spans``); from then on rows are spans
-with hashes, and only spans that pass their gate are compared with sources or with each other.
+Windows and prefixes are found and compared with sources in the row of their text (``functions.spans``); from then on rows are
+offsets with hashes, and only spans that pass their gate are compared with each other.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusx.functions.spans import causal_windows, complete_prefix, spans_of
-from corpusx.operators.overlap import found_grams, shingles
+from corpusx.functions.text import tokenize
+from corpusx.operators.overlap import found_grams, shingles, sized
 from corpusx.scratch import Scratch
 
 
@@ -28,6 +29,31 @@ def gate(text: Column, rules: Sequence[tuple[str, bool]]) -> Column:
     return ok
 
 
+def new_spans(
+    docs: DataFrame, sources: DataFrame, known: DataFrame, rules: Sequence[tuple[str, bool]], least: int = 12, most: int = 90, paragraphs: int = 3,
+    n: int = 12, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None,
+) -> DataFrame:
+    """(id, start, stop, words, hash) of the spans of ``mine_spans``: everything is judged beside the text, so offsets and hashes alone are shuffled.
+
+    A span lies between two characters of no word, so it can share a run of words with the sources only where its text does: the runs that a text
+    shares are found once per text and looked for in its spans.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "mining")
+    runs = found_grams(docs, shingles(sources.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("gram"), id_col, text_col, n).where(F.size("hits") > 0)
+    runs = runs.groupBy(F.col("id").alias("of")).agg(F.array_distinct(F.flatten(F.collect_list(F.transform("hits", lambda x: F.concat(F.lit(" "), x["gram"], F.lit(" ")))))).alias("grams"))
+    runs = sized(scratch.keep(runs, "runs"))
+    fields = "start int, stop int, words int, text string"
+    found = spans_of(docs, id_col, text_col, fields, lambda t: ((a, b, w, t[a:b]) for a, b, w in causal_windows(t, least, most, paragraphs)))
+    found = found.where(gate(F.col("text"), rules)).join(runs, F.col("id").eqNullSafe(F.col("of")), "left")
+    # the words are bound by an outer lambda, so they are made once and not for every run
+    said = F.concat(F.lit(" "), F.array_join(tokenize(F.col("text")), " "), F.lit(" "))
+    taken = F.transform(F.array(said), lambda s: F.exists("grams", lambda g: s.contains(g)))[0]
+    passed = found.where(F.when(F.col("grams").isNull(), True).otherwise(~taken)).select(F.unhex(digest(F.col("text"))).alias("hash"), "id", "start", "stop", "words")
+    first = passed.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "start", "stop", "words")).alias("s"))
+    first = first.join(known.select(F.unhex("hash").alias("hash")).distinct(), "hash", "left_anti")
+    return first.select("s.id", "s.start", "s.stop", "s.words", F.lower(F.hex("hash")).alias("hash"))
+
+
 def mine_spans(
     docs: DataFrame, sources: DataFrame, known: DataFrame, rules: Sequence[tuple[str, bool]], least: int = 12, most: int = 90, paragraphs: int = 3,
     n: int = 12, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None,
@@ -39,15 +65,11 @@ def mine_spans(
     ``known`` (hash). Of equal spans the one with the least id, then the least start, stays. Null texts and texts without
     such a span give no row; rows that repeat an id are mined one by one; empty sources or hashes exclude nothing.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "mining")
-    fields = "start int, stop int, words int, text string"
-    found = spans_of(docs, id_col, text_col, fields, lambda t: ((a, b, w, t[a:b]) for a, b, w in causal_windows(t, least, most, paragraphs)))
-    passed = found.where(gate(F.col("text"), rules)).withColumn("hash", digest(F.col("text")))
-    first = passed.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "start", "stop", "words", "text")).alias("s"))
-    first = first.join(known.select("hash").distinct(), "hash", "left_anti").select("s.id", "s.start", "s.stop", "s.words", "hash", "s.text")
-    first = scratch.keep(first, "spans")
-    taken = found_grams(first, shingles(sources.select(F.lit(0).alias("k"), "text"), "k", "text", n).select("gram"), "hash", "text", n)
-    return first.join(taken.where(F.size("hits") > 0).select(F.col("id").alias("hash")), "hash", "left_anti").select("id", "start", "stop", "words", "hash", "text")
+    found = new_spans(docs, sources, known, rules, least, most, paragraphs, n, id_col, text_col, scratch)
+    cut = found.join(docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("whole")), F.col("id").eqNullSafe(F.col("of")))
+    cut = cut.select("id", "start", "stop", "words", "hash", F.substring("whole", F.col("start") + 1, F.col("stop") - F.col("start")).alias("text"))
+    # of rows that repeat an id, those that hold the span
+    return cut.where(digest(F.col("text")) == F.col("hash")).dropDuplicates(["hash"])
 
 
 def reextract_failed(

@@ -36,7 +36,7 @@ RULES = [("[,;]", True), ("[0-9#$%&*]", False)]
 def mine_spans(spark, sf):
     """Spans of 12 to 90 words over up to three lines, with a comma or semicolon and no digits or marks, new and free of 8 words of a benchmark passage."""
     known = table(spark, sf, "conversations").where("text is not null").select(M.digest(F.col("text")).alias("hash"))
-    return M.mine_spans(table(spark, sf, "documents"), table(spark, sf, "benchmark"), known, RULES, n=8).drop("text")
+    return M.new_spans(table(spark, sf, "documents"), table(spark, sf, "benchmark"), known, RULES, n=8)
 
 
 def prefix(source: str, least: int, most: int) -> str:

@@ -52,3 +52,18 @@ def test_prior_overlap_of_copies_and_repeated_ids(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(overlap, "PIECE", piece)
         got, want = both(spark, tmp_path / str(piece), "prior_overlap", documents=(docs, "doc_id long, text string"))
         assert got == want and len(got) > 20
+
+
+def test_mined_spans_leave_their_text_where_it_lies(spark, tmp_path):
+    """Copies, spans beside a passage and across it, known spans; only offsets and hashes are shuffled."""
+    import re
+
+    passage = "one, two three four five six seven eight nine ten eleven twelve thirteen."
+    fresh = "aa, bb cc dd ee ff gg hh ii jj kk ll mm."
+    texts = [passage, f"{fresh} {passage}", f"{fresh}\n{passage}\n{fresh}", fresh, f"x {fresh}", "one, two three four five six seven a b c d e f.", None, "", "known, a b c d e f g h i j k l m.", "’one’, two b c d e f g h i j k l m."]
+    tables = {"documents": ([*enumerate(texts)], "doc_id long, text string"), "benchmark": ([(1, passage), (2, None)], "item_id long, text string"), "conversations": ([(1, texts[8]), (2, None)], "conv_id long, text string")}
+    got, want = both(spark, tmp_path, "mine_spans", **tables)
+    assert got == want and len(got) == 4
+    plan = entry.queries()["mine_spans"](spark, str(tmp_path))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("text" in m for m in moved)
