@@ -67,3 +67,16 @@ def test_mined_spans_leave_their_text_where_it_lies(spark, tmp_path):
     plan = entry.queries()["mine_spans"](spark, str(tmp_path))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
     assert moved and not any("text" in m for m in moved)
+
+
+def test_style_of_long_texts_without_an_end(spark, tmp_path):
+    """Counted in one pass: tried from each of its characters, the long text took minutes."""
+    import time
+
+    texts = ["a word " * 40_000, None, "", "...", "a.b!!c?", "x’-- y_-'z- -q 'n' ß’ 日本-語. -", "Two ends.. Here!? and, more", "\n.\n", "é-é é’s. 12-3, _a_ -", "😀. a"]
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)]
+    began = time.time()
+    for query in ("surface_style", "distribution_distance", "batch_style_rollup"):
+        got, want = both(spark, tmp_path / query, query, documents=(rows, "doc_id long, text string, lang string"))
+        assert got == want and got
+    assert time.time() - began < 40
