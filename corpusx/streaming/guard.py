@@ -9,9 +9,11 @@ micro-batch completes are joined to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,22 +27,59 @@ from corpusx.functions.text import WORD
 MOST_GRAMS = 5_000_000
 STATE = "tail string, words array<string>, before long, closed boolean, next long, early array<struct<seq:long,delta:string>>"
 FRESH = ("", [], 0, False, 0, [])
-#: Fixed value: the seed of Spark's xxhash64.
-SEED = 42
+#: The seed of word hashes, and the odd factor by which a hash of words grows.
+SEED, ODD = 42, 0x9E3779B97F4A7C15
+#: Words of a text that are looked at together, and words whose hashes a worker remembers.
+BLOCK, MOST_WORDS = 50_000, 200_000
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered until there are ``MOST_WORDS``."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode(), SEED)
+        return h
+
+
+def gram_hashes(words: list[str], n: int, known: WordHashes) -> np.ndarray:
+    """64-bit hash of every run of n words, in order."""
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n if len(out) else 0):
+        out = out * np.uint64(ODD) + h[j : j + len(out)]
+    return out
+
+
+def index_hashes(grams: DataFrame) -> np.ndarray:
+    """Sorted hashes of n-grams (gram), made where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            found = [gram_hashes(words := g.split(" "), len(words), known) for g in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+
+    made = grams.where("gram is not null").select("gram").mapInArrow(run, "h long").toArrow()["h"].to_numpy()
+    return np.sort(made.astype(np.int64).view(np.uint64))
 
 
 def completed(deltas: DataFrame, n: int, hashes, ordered: bool, idle: int | None) -> DataFrame:
     """(stream_id, word_pos, gram) of n-grams as streams complete them: all of them, or, with the broadcast ``hashes``, the
     first whose hash is among them, after which a stream is closed."""
-    word, goes_on = regex.compile(WORD), regex.compile(r"[\p{L}\p{N}_’'-]*")
+    word, open_end, remembered = regex.compile(WORD), regex.compile(r"(?r)[\p{L}\p{N}_’'-]*"), WordHashes()
     kind = deltas.schema["stream_id"].dataType.simpleString()
 
-    def known(gram: str) -> bool:
+    def matches(words: list[str]) -> list[int]:
+        """Where the n-grams begin that are wanted: every one, or the first that is known."""
         if hashes is None:
-            return True
-        h = np.uint64(xxhash.xxh64_intdigest(gram.encode(), SEED)).view(np.int64)
-        i = int(np.searchsorted(hashes.value, h))
-        return i < len(hashes.value) and hashes.value[i] == h
+            return list(range(len(words) - n + 1))
+        if not len(hashes.value) or len(words) < n:
+            return []
+        h = gram_hashes(words, n, remembered)
+        at = np.minimum(np.searchsorted(hashes.value, h), len(hashes.value) - 1)
+        return np.flatnonzero(hashes.value[at] == h)[:1].tolist()
 
     def in_turn(early: list, new: list, due: int, flush: bool) -> tuple[list[str], list, int]:
         """Deltas whose turn it is, those that wait for an earlier one, and the next number."""
@@ -58,21 +97,18 @@ def completed(deltas: DataFrame, n: int, hashes, ordered: bool, idle: int | None
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, words, before, closed, due, early = state.get if state.exists else FRESH
-        new = [] if state.hasTimedOut else [(int(s), d or "") for b in batches for s, d in zip(b["seq"], b["delta"], strict=True)]
+        new = [] if state.hasTimedOut else [(int(s), d or "") for b in batches for s, d in zip(b["seq"].tolist(), b["delta"].tolist(), strict=True)]
         ready, early, due = in_turn([(r[0], r[1]) for r in early], new, due, state.hasTimedOut)
-        found, words, text, at = [], list(words), tail + "".join(ready), 0
-        for m in word.finditer("" if closed else text):
-            # a mark or letter right behind may still belong to the word
-            if goes_on.match(text, m.end()).end() == len(text):
-                break
-            at = m.end()
-            words.append(folded(m[0]))
-            before += 1
-            if len(words) == n and known(gram := " ".join(words)):
-                found.append((before - n, gram))
-                if hashes is not None:
-                    closed = True
-                    break
+        found, words, text = [], list(words), "" if closed else tail + "".join(ready)
+        # marks and letters at the end may still belong to a word
+        at = open_end.match(text).start()
+        complete = (m[0] for m in word.finditer(text, 0, at))
+        while not closed and (more := list(islice(complete, BLOCK))):
+            words += folded(" ".join(more)).split(" ")
+            before += len(more)
+            for i in matches(words):
+                found.append((before - len(words) + i, " ".join(words[i : i + n])))
+                closed = hashes is not None
             words = words[-(n - 1) :] if n > 1 else []
         if found:
             yield pd.DataFrame({"stream_id": [key[0]] * len(found), "word_pos": [p for p, _ in found], "gram": [g for _, g in found]})
@@ -100,8 +136,7 @@ def ngram_guard(deltas: DataFrame, index: DataFrame, n: int = 12, ordered: bool
     grams = index.select("gram").distinct()
     if (size := grams.count()) > MOST_GRAMS:
         raise ValueError(f"the index has {size} n-grams, more than {MOST_GRAMS}: use guard_into")
-    hashes = np.sort(grams.select(F.xxhash64("gram").alias("h")).toArrow()["h"].to_numpy().astype(np.int64))
-    shared = deltas.sparkSession.sparkContext.broadcast(hashes)
+    shared = deltas.sparkSession.sparkContext.broadcast(index_hashes(grams))
     return completed(deltas, n, shared, ordered, idle)
 
 
@@ -128,5 +163,6 @@ def guard_into(deltas: DataFrame, index: DataFrame, path: str, checkpoint: str,
 def deltas_of(docs: DataFrame, id_col: str, text_col: str, size: int = 400) -> DataFrame:
     """(stream_id, seq, delta): texts cut into runs of ``size`` characters, and a line end behind the last."""
     text = F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
-    n = F.ceil(F.length(text) / size).cast("int")
-    return docs.select(F.col(id_col).alias("stream_id"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).alias("seq", "delta"))
+    # cut from left to right: a substring would be looked for from the beginning of the text, once a delta
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return docs.select(F.col(id_col).alias("stream_id"), F.posexplode(runs).alias("seq", "delta"))

@@ -95,3 +95,18 @@ def test_guard_reads_long_deltas_in_linear_time(spark, tmp_path):
     began = time.time()
     assert drained(spark, tmp_path, [rows], guard) == [(1, 400_000, "one two three four")]
     assert time.time() - began < 60
+
+
+def test_a_long_text_is_cut_and_read_once(spark, tmp_path, monkeypatch):
+    """Deltas looked for from the beginning of the text, once each, took minutes; blocks of words join where they meet."""
+    rows = spark.createDataFrame([(1, "é word\n" * 1_200_000 + "two three four five"), (2, None)], "id long, text string")
+    cut = guard_module.deltas_of(rows, "id", "text", 400)
+    began = time.time()
+    assert cut.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.length("delta")).alias("c"), F.max("seq").alias("last")).orderBy("stream_id").collect() == [(1, 21001, 8_400_020, 21000), (2, 1, 1, 0)]
+    assert time.time() - began < 30
+    monkeypatch.setattr(guard_module, "BLOCK", 3)
+    log = str(tmp_path / "cut")
+    guard_module.deltas_of(spark.createDataFrame(list(TEXTS.items()), "id long, text string"), "id", "text", 5).write.parquet(log)
+    found = ngram_guard(spark.readStream.schema("stream_id long, seq int, delta string").parquet(log), spark.createDataFrame([*[(g,) for g in INDEX], (None,)], "gram string"), 4)
+    found.writeStream.format("memory").queryName("cut_in_blocks").trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("cut_in_blocks").collect()} == {(1, 0, "one two three four"), (4, 1, "two three four five")}
