@@ -24,6 +24,8 @@ SALTS = [(2 * s * s + 7 * s + 1, 31 * s + 17) for s in range(SIZE)]
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a bucket that stay together.
 PIECE = 10_000
+#: Hashes of one side that every task gets, to leave out what shares none of them (8 bytes each).
+MOST_LOOKED_UP = 2_000_000
 
 
 def signature(hashes: Column, size: int = SIZE) -> Column:
@@ -64,6 +66,27 @@ def band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return sets.select("cls", "grams").mapInArrow(run, "cls long, key long")
 
 
+def holding(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of (id, grams) the rows with a hash of ``wanted`` (h), looked up where they lie; all rows if there are too many to send."""
+    known = wanted.limit(MOST_LOOKED_UP + 1).toArrow()["h"].to_numpy()
+    if len(known) > MOST_LOOKED_UP:
+        return sets
+    shared = sets.sparkSession.sparkContext.broadcast(np.sort(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column(1)
+            values = grams.flatten().to_numpy(zero_copy_only=False)
+            if not len(values) or not len(shared.value):
+                continue
+            at = np.minimum(np.searchsorted(shared.value, values), len(shared.value) - 1)
+            offsets = grams.offsets.to_numpy()
+            found = np.concatenate([[0], np.cumsum(shared.value[at] == values)])[offsets - offsets[0]]
+            yield b.filter(pa.array(found[1:] > found[:-1]))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def minhash_join(a: DataFrame, b: DataFrame, ids: tuple[str, str], least: float = 0.4, n: int = 5, bands: int = 16, rows: int = 2, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, other_id, similarity): pairs of texts of ``a`` and ``b`` whose sets of n-grams have a Jaccard similarity of ``least`` or more.
 
@@ -74,11 +97,16 @@ def minhash_join(a: DataFrame, b: DataFrame, ids: tuple[str, str], least: float
     if bands * rows > SIZE:
         raise ValueError(f"bands * rows must be at most {SIZE}")
     scratch = scratch or Scratch(a.sparkSession, "lsh")
-    sides = []
-    for name, side, id_col in (("a", a, ids[0]), ("b", b, ids[1])):
-        members = scratch.keep(gram_sets(side, id_col, text_col, n), f"{name}-members").where(F.size("grams") > 0)  # where it is read: pushed into the making it would double it
+    sides, wanted = [], None
+    for name, side, id_col in (("b", b, ids[1]), ("a", a, ids[0])):
+        sets = gram_sets(side, id_col, text_col, n)
+        if wanted is not None:  # a text of the one side without any n-gram of the other has no similarity: it goes before anything is written
+            sets = holding(sets, wanted)
+        members = scratch.keep(sets, f"{name}-members").where(F.size("grams") > 0)  # where it is read: pushed into the making it would double it
         reps = scratch.keep(members.select("grams").distinct().withColumn("cls", F.monotonically_increasing_id()), f"{name}-classes")
         sides.append((members, reps, scratch.keep(band_keys(reps, bands, rows), f"{name}-keys")))
+        wanted = reps.select(F.explode("grams").alias("h")).distinct()
+    sides.reverse()
     (ma, ra, ka), (mb, rb, kb) = sides
     # a large bucket of the one side is cut into pieces; the other side's members of it are repeated for each
     large = ka.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("cuts")).where("cuts > 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusx.functions.spans import causal_windows, complete_prefix, without_overlap
 from corpusx.operators import authorship, lsh, mining, ordinal, ranking, voices
+from corpusx.scratch import Scratch
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -189,3 +190,19 @@ def test_ordinal_scores_are_made_in_arrays(spark, monkeypatch):
     assert got == want and want
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair is a row of a join
     assert ordinal.ordinal_retrieval(given.where("cell > 99"), spark.createDataFrame(rows, fields), b, 3).isEmpty()
+
+
+def test_minhash_join_writes_only_what_may_resemble(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    said = lambda k: " ".join(f"{k}{rng.randrange(3000)}" for _ in range(30))
+    base = [said("t") for _ in range(20)]
+    a = spark.createDataFrame([*enumerate([said("o") for _ in range(500)] + base + [None, "", "short"])], "id long, text string")
+    b = spark.createDataFrame([*enumerate([*base, None])], "item long, text string")
+    found = {}
+    for most in (2_000_000, 3):
+        monkeypatch.setattr(lsh, "MOST_LOOKED_UP", most)
+        scratch = Scratch(spark, f"few{most}")
+        found[most] = {tuple(r) for r in lsh.minhash_join(a, b, ("id", "item"), scratch=scratch).collect()}
+        assert [t.count() for t in scratch._kept if t._scratch_path.endswith("a-members")] == [20 if most > 3 else 523]
+    assert found[3] == found[2_000_000] == {(500 + i, i, 1.0) for i in range(20)}
+    assert lsh.minhash_join(a, b.where("false"), ("id", "item")).collect() == []
