@@ -80,3 +80,14 @@ def test_style_of_long_texts_without_an_end(spark, tmp_path):
         got, want = both(spark, tmp_path / query, query, documents=(rows, "doc_id long, text string, lang string"))
         assert got == want and got
     assert time.time() - began < 40
+
+
+def test_phrases_of_long_turns(spark, tmp_path):
+    """The words of a turn are made once: made for each of its n-grams, this took minutes."""
+    import time
+
+    long = " ".join(f"w{i % 9_000}" for i in range(12_000))
+    turns = [(1, 1, long), (1, 2, f"x {long}"), (1, 3, None), (1, 4, "a b c d e a b c d"), (1, 5, "A b c d’ e"), (2, 1, "alone"), (3, 1, ""), (3, 2, "a b c")]
+    began = time.time()
+    got, want = both(spark, tmp_path, "control_phrase_overlap", conversations=(turns, "conv_id long, turn int, text string"))
+    assert got == want and len(got) == 2 and time.time() - began < 30
