@@ -91,3 +91,35 @@ def test_phrases_of_long_turns(spark, tmp_path):
     began = time.time()
     got, want = both(spark, tmp_path, "control_phrase_overlap", conversations=(turns, "conv_id long, turn int, text string"))
     assert got == want and len(got) == 2 and time.time() - began < 30
+
+
+def test_the_top_k_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Copies of equal score, rows of one id, null ids, a passage given twice, words of all documents, several blocks and pieces; a task gives k documents a query."""
+    from pyspark.sql import DataFrame
+
+    from corpusx.operators import batched, ranking
+    from corpusx.scratch import Scratch
+
+    text = lambda i: f"the word{i % 7} drum {'echo ' * (i % 5)}{'pad ' * (40 * (i % 3))}{f'rare{i // 9} ' * (i % 4)}"
+    docs = [(i, text(i) if i % 11 else None) for i in range(150)] + [(500 + i, text(3)) for i in range(60)] + [(3, text(4)), (4, None), (4, text(4)), (None, "word1 drum"), (None, "rare2")]
+    passages = [(1, "the word1 echo drum rare2"), (2, "the word2 word3 echo"), (3, "zz of"), (4, None), (5, "rare1 rare7 the drum"), (5, "rare1 rare7 the drum"), (6, "word3"), (7, "the drum the")]
+    tables = {"documents": (docs, "doc_id long, text string"), "benchmark": (passages, "item_id long, text string")}
+    written, keep = {}, Scratch.keep
+
+    def kept(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        written[name] = keep(self, df, name, batch)
+        return written[name]
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    for block, cells in ((2_000, 1 << 20), (2, 1 << 20), (2_000, 64)):
+        monkeypatch.setattr(batched, "BLOCK", block)
+        monkeypatch.setattr(batched, "CELLS", cells)
+        monkeypatch.setattr(ranking, "CELLS", cells)
+        folder = tmp_path / f"{block}-{cells}"
+        got, want = both(spark, folder, "bm25_top", **tables)
+        assert got == want and len(got) == 50
+        if block == 2_000 and cells > 64:
+            assert max(t.count() for t in written.values()) <= len(docs)  # no row for each posting
+            assert written["found"].where("score is not null").groupBy("nth").count().agg({"count": "max"}).first()[0] < 40  # of 210 with the words
+    plan = entry.queries()["bm25_top"](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" not in plan and "hashpartitioning(term" not in plan
