@@ -82,6 +82,14 @@ def test_style_of_long_texts_without_an_end(spark, tmp_path):
     assert time.time() - began < 40
 
 
+def test_all_metrics_of_style(spark, tmp_path):
+    texts = ['He said “never again, no” and left. The old sea! "Why?" Was it loud; the voice—or not?\n\nA second part.”’ It ends', None, "", "...", "one", "a a. b; c –\n \nthe the the", '"open and no end. x', "é-é é’s. 12-3, _a_ -\n\n\n'AS' the"]
+    got, want = both(spark, tmp_path, "style_metrics", documents=([*enumerate(texts)], "doc_id long, text string"))
+    assert got == want
+    assert got[0][1:7] == (23, 6, 3.8333, 2.3393, 11.5, 0.173913)  # sentences of 7, 3, 1, 7, 3 and 2 words, 4 of them in speech
+    assert [r[1] for r in got[1:5]] == [0, 0, 0, 1] and got[5][-1][0] == round(2 / 7, 6)
+
+
 def test_phrases_of_long_turns(spark, tmp_path):
     """The words of a turn are made once: made for each of its n-grams, this took minutes."""
     import time
