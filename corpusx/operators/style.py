@@ -45,3 +45,17 @@ def style_metrics(docs: DataFrame, id_col: str, text_col: str, function_words: S
         "id", "words", "sentences", F.round("mean", 4).alias("mean_sentence"), F.round(deviation, 4).alias("sentence_deviation"), F.round("paragraph", 4).alias("mean_paragraph"),
         F.round(F.col("spoken") / F.col("n"), 6).alias("dialogue_ratio"), *[F.round(1000.0 * F.col(m) / F.col("n"), 4).alias(m) for m, _ in MARKS], rates.alias("function_words"),
     )
+
+
+#: Metrics that are single numbers.
+NUMBERS = ("words", "sentences", "mean_sentence", "sentence_deviation", "mean_paragraph", "dialogue_ratio", *(m for m, _ in MARKS))
+
+
+def distribution_diagnostics(metrics: DataFrame, profile: DataFrame, id_col: str, names: Sequence[str] = NUMBERS) -> DataFrame:
+    """(id, metric, observed, target, tolerance, distance, within): every metric that has a mean and a tolerance in the profile (metric, mean, tolerance, stddev), how many
+    tolerances it is from the mean, and whether that is one at most. Without a tolerance the standard deviation is it; neither is taken to be under 1e-9."""
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("observed")) for n in names])
+    rows = metrics.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).select("id", "x.*")
+    p = profile.select("metric", F.col("mean").cast("double").alias("target"), F.coalesce("tolerance", "stddev").cast("double").alias("tolerance")).where("target is not null and tolerance is not null")
+    gap = F.abs(F.col("observed") - F.col("target")) / F.greatest("tolerance", F.lit(1e-9))
+    return rows.join(F.broadcast(p), "metric").where("observed is not null").select("id", "metric", "observed", "target", "tolerance", F.round(gap, 4).alias("distance"), (gap <= 1).alias("within"))

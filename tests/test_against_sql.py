@@ -90,6 +90,20 @@ def test_all_metrics_of_style(spark, tmp_path):
     assert [r[1] for r in got[1:5]] == [0, 0, 0, 1] and got[5][-1][0] == round(2 / 7, 6)
 
 
+def test_every_metric_has_a_distance(spark, tmp_path):
+    """A declared tolerance goes before the deviation, a metric without either has no row, and equal texts deviate by nothing."""
+    from corpusx.operators import style
+
+    texts = ["One two. Three four five!", "A b; c d e f. “G h i” j?", None, "x"]
+    got, want = both(spark, tmp_path / "a", "distribution_diagnostics", documents=([*enumerate(texts)], "doc_id long, text string"))
+    assert got == want and {r[1] for r in got} == set(style.NUMBERS) and len(got) == 4 * len(style.NUMBERS)
+    got, want = both(spark, tmp_path / "b", "distribution_diagnostics", documents=([(1, "one two."), (2, "one two.")], "doc_id long, text string"))
+    assert got == want and all(r[5] == 0 and r[6] for r in got)
+    m = spark.createDataFrame([(1, 3.0, 8.0, 5.0)], "i int, a double, b double, c double")
+    p = spark.createDataFrame([("a", 2.0, 0.5, 9.0), ("b", 5.0, None, 3.0), ("c", 1.0, None, None), ("d", 1.0, 1.0, 1.0)], "metric string, mean double, tolerance double, stddev double")
+    assert sorted(map(tuple, style.distribution_diagnostics(m, p, "i", ("a", "b", "c")).collect())) == [(1, "a", 3.0, 2.0, 0.5, 2.0, False), (1, "b", 8.0, 5.0, 3.0, 1.0, True)]
+
+
 def test_phrases_of_long_turns(spark, tmp_path):
     """The words of a turn are made once: made for each of its n-grams, this took minutes."""
     import time
