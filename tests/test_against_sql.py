@@ -104,6 +104,58 @@ def test_every_metric_has_a_distance(spark, tmp_path):
     assert sorted(map(tuple, style.distribution_diagnostics(m, p, "i", ("a", "b", "c")).collect())) == [(1, "a", 3.0, 2.0, 0.5, 2.0, False), (1, "b", 8.0, 5.0, 3.0, 1.0, True)]
 
 
+def test_retrieval_by_rough_scores(spark, tmp_path, monkeypatch):
+    """With copies, nulls, and terms that few briefs want."""
+    import random
+
+    from corpusx.operators import ordinal
+
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("the de und la of sea ship wind old is".split()) if rng.random() < 0.5 else f"w{rng.randrange(400)}" for _ in range(n))
+    texts = [words(rng.choice([20, 150, 400, 900])) + rng.choice([".", "!", "", "?\nthe end"]) for _ in range(300)]
+    docs = [(i, t, rng.choice(["src1", "src3", "src7", None])) for i, t in enumerate([*texts, *texts[:40], None, ""])]
+    turns = [(c, 0, None if c == 7 else words(rng.choice([4, 30, 90]))) for c in range(200)]
+    tables = {"documents": (docs, "doc_id long, text string, source string"), "conversations": (turns, "conv_id long, turn int, text string")}
+    for frequent in (96, 3):
+        monkeypatch.setattr(ordinal, "FREQUENT", frequent)
+        for query in ("ordinal_retrieval", "stage_retrieval"):
+            got, want = both(spark, tmp_path / f"{frequent}-{query}", query, **tables)
+            assert got == want and len(got) > 300
+
+
+def test_few_cells_are_scored_exactly(monkeypatch):
+    """A task gives what scoring every cell gives, in pieces of any size, and scores few of them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusx.operators import ordinal as R
+
+    rng = random.Random(3)
+    terms = lambda n: sorted({f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(n)})
+    rows = [{"ordinal": rng.choice([0, 1]), "mode": rng.choice(["a", "b", None]), "wanted": terms(20), "acts": terms(3), "lo": 1, "hi": rng.choice([1, 2]), "barred": rng.choice([[], ["b"]])} for _ in range(60)]
+    count, texts = 3_000, [terms(rng.choice([20, 90])) for _ in range(3_000)]
+    columns = {"passage": rng.sample(range(9_000), count), "ordinal": [rng.choice([0, 1, 2, 3, None]) for _ in range(count)], "mode": [rng.choice(["a", "b", "c", None]) for _ in range(count)], "terms": texts, "card_terms": [t[:6] for t in texts]}
+    columns |= {n: [rng.random() for _ in range(count)] for n in ("dialogue", "agency", "humor", "boundary")} | {"card_acts": [t[:2] for t in texts]}
+    part, scored, total = pa.RecordBatch.from_pydict(columns), [], R.OrdinalScores.total
+    scores = R.OrdinalScores(rows, R.ORDINAL)
+    row, nth = (x.ravel() for x in np.indices((count, len(rows))))
+    every = total(scores, part, {n: m.exact(m.held(part, *c), row, nth) for n, (m, c) in scores.shares.items()}, row, nth).reshape(count, -1)
+    ids, level, mode = (np.array(columns[c]) for c in ("passage", "ordinal", "mode"))
+    want = set()
+    for n, r in enumerate(rows):
+        open_ = [i for i in range(count) if level[i] is not None and r["lo"] <= level[i] <= r["hi"] and mode[i] not in r["barred"]]
+        want |= {(n, int(ids[i])) for i in sorted(open_, key=lambda i: (-every[i, n], ids[i]))[:5]}
+    monkeypatch.setattr(R.OrdinalScores, "total", lambda self, part, share, row, nth: scored.append(len(row)) or total(self, part, share, row, nth))
+    for cells in (1 << 20, 1 << 12):
+        monkeypatch.setattr(R, "CELLS", cells)
+        scored.clear()
+        got = [(n, i, s) for b in R.picked(iter([part.slice(0, 1_000), part.slice(1_000)]), scores, len(rows), 5) for n, i, s in zip(*b.to_pydict().values(), strict=True)]
+        best = {(n, i) for k in range(len(rows)) for n, i, _ in sorted((g for g in got if g[0] == k), key=lambda g: (-g[2], g[1]))[:5]}
+        assert best == want and sum(scored) < 0.05 * every.size
+
+
 def test_phrases_of_long_turns(spark, tmp_path):
     """The words of a turn are made once: made for each of its n-grams, this took minutes."""
     import time
